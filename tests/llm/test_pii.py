@@ -1,0 +1,52 @@
+import hashlib
+import random
+import re
+
+from gristmill.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+SCHEMA = "doc_id long, text string, n_email string"
+
+
+def brute(text):
+    found = [(m.start(), 0, m.end(), "email") for m in EMAIL.finditer(text)]
+    found += [(m.start(), 1, m.end(), "ip") for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in CARD.finditer(text):
+        d = re.sub("[ -]", "", m[0])
+        if 12 <= len(d) <= 19 and sum(sum(divmod(int(x) * (1 + k % 2), 10)) for k, x in enumerate(reversed(d))) % 10 == 0:
+            found.append((m.start(), 2, m.end(), "card"))
+    found += [(m.start(), 3, m.end(), "phone") for m in PHONE.finditer(text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(found)
+
+
+def test_base_spans_equal_the_regexes():
+    rng = random.Random(6)
+    pieces = ["a@b.c", "@", ".", "-", " ", "x.y@m.example.com", "1", "255.1.2.3", "256.", "+1 (437) 555-0689", "4532 0151 1283 0366", "4111111111111111", "é", "+", "00", "@b", "c@d-e.f.", "token", "\n"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(14)))
+        got = [x for x in pii.spans_of(text) if x[1] < 4]
+        assert got == brute(text), text
+
+
+def test_long_runs_are_linear():
+    for text in ("1" * 300_000, "1." * 150_000, "a" * 300_000 + "@", "@" * 200_000, "+1 " * 100_000, "a@" * 100_000):
+        pii.summary(text)
+
+
+def test_further_kinds_and_redaction():
+    text = 'token = "ffc3105535f423f352535e4ac53b5fefe076ac6d" IBAN: GB82 WEST 1234 5698 7654 32. account number 12345678 postgres://me:pw@db/x'
+    kinds = [k for *_, k in pii.spans_of(text)]
+    assert {"secret", "iban", "account", "url"} <= set(kinds)
+    assert "WEST" not in pii.redact(text) and "ffc3" not in pii.redact(text)
+
+
+def test_rows(spark):
+    rows = [(1, "é a@b.co", "x"), (1, "é a@b.co", "x"), (2, None, None), (None, "", None)]
+    got = {(r.doc_id, r.n_email, r.base_sha256, r.spans) for r in pii.find_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert got == {(1, 1, hashlib.sha256(b"email:2:8").hexdigest(), "email:2:8"), (2, 0, nothing, ""), (None, 0, nothing, "")}
+    assert pii.find_pii(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert [r.text for r in pii.redact_documents(spark.createDataFrame(rows, SCHEMA)).collect()][:3] == ["é <email>", "é <email>", None]
