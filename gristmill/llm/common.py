@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -85,3 +86,27 @@ def number_of_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+
+
+def once(name: str, make: Callable[[], object]) -> object:
+    """make()'s value, kept by name as long as this process lives: functions that are pickled by value have no module whose globals last from task to task."""
+    kept = sys.__dict__.setdefault("_gristmill_once", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def replaced(batch: pa.RecordBatch, columns: list[str], **new: pa.Array) -> pa.RecordBatch:
+    """The named columns of batch, with some of them replaced."""
+    at = batch.schema.get_field_index
+    return pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(at(c)) for c in columns], names=columns)

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from .common import row_map
+from .common import once, row_map
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Further notice phrases, as words.
@@ -90,8 +89,7 @@ def evaluate(postfix: list[str]) -> tuple[frozenset[str], int, str]:
     return stack[0] if stack else (frozenset(), 0, "")
 
 
-@lru_cache(1)
-def automaton() -> ahocorasick.Automaton:
+def build() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for phrase, label in {**NOTICES, **BASE, TAG: ""}.items():
         found.add_word(f" {phrase} ", (phrase, label))
@@ -106,7 +104,7 @@ def scan(text: str | None) -> tuple:
     line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
     starts, base, labels, tagged = [], set(), set(), False
     at, seen = 0, 0
-    for end, (phrase, label) in automaton().iter(line):
+    for end, (phrase, label) in once("licenses", build).iter(line):
         if phrase == TAG:
             tagged = True
             continue

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, row_map
+from .common import cut, exists, row_map
 
 UNIT = 576
 MIN_CHUNK, MAX_CHUNK = 4096, 65536
@@ -208,7 +208,3 @@ def payloads(refs: DataFrame, store: DataFrame) -> DataFrame:
 
     return refs.select("doc_id", "n_bytes", "media").join(row_map(parts.select("media", "parts"), rows, "media binary, payload binary"), "media").drop("media")
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -12,12 +12,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from .common import row_map
+from .common import once, row_map
 
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "mongodb://", "redis://", "amqp://")
@@ -52,8 +51,7 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
-@lru_cache(1)
-def automaton() -> ahocorasick.Automaton:
+def build() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     found.add_word("@", "email")
     found.add_word("+", "phone")
@@ -88,7 +86,7 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, int, str]] = []
     add = lambda kind, a, b: found.append((a, KINDS.index(kind), b, kind))
     ends = dict.fromkeys(KINDS, 0)  # of each kind's last match, valid or not
-    for at, kind in automaton().iter(text):
+    for at, kind in once("pii", build).iter(text):
         if kind == "email":
             a = at
             while a > ends["email"] and text[a - 1] in LOCAL_CHARS:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, media, mixing, pii
+from . import langid, licenses, linededup, media, mixing, pii
 from .common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(read_table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op3_mixing, op4_licenses, op6_pii)}
-ORACLE_SQL = {"op3_mixing": mixing.SQL}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_mixing, op4_licenses, op6_pii, op10_langid)}
+ORACLE_SQL = {"op2_lines": linededup.SQL, "op3_mixing": mixing.SQL}
