@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, linededup, media, mixing, neardup, pii
+from . import ann, langid, licenses, linededup, media, mixing, neardup, packing, pii
 from .common import read_table
 
 
@@ -28,6 +28,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4)
 
@@ -36,5 +44,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_mixing, op4_licenses, op6_pii, op9_neardup, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_mixing, op4_licenses, op6_pii, op7_ann, op8_packing, op9_neardup, op10_langid)}
 ORACLE_SQL = {"op2_lines": linededup.SQL, "op3_mixing": mixing.SQL}
