@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, langid, licenses, linededup, media, mixing, neardup, packing, pii
+from . import ann, htmltext, langid, licenses, linededup, media, mixing, neardup, packing, pii
 from .common import read_table
 
 
@@ -24,6 +24,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_mixing, op4_licenses, op6_pii, op7_ann, op8_packing, op9_neardup, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_mixing, op4_licenses, op5_html, op6_pii, op7_ann, op8_packing, op9_neardup, op10_langid)}
 ORACLE_SQL = {"op2_lines": linededup.SQL, "op3_mixing": mixing.SQL}
