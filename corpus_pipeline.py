@@ -1,4 +1,9 @@
-"""From raw documents to packed batches: STAGES, each on all that the one before kept."""
+"""From raw documents to packed batches: STAGES, each on all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, but the last, which returns each document's place in a batch.
+Nulls, empty texts, repeated rows and empty tables are treated as the operators' own descriptions say; null or letterless texts go in the
+first stage. After the mix, a document taken more than once has more than one row.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from gristmill.llm import langid, linededup, mixing, neardup, packing
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models reject go."""
+    return langid.keep_identified(docs)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three documents or more hold stay in the last of them only."""
+    return linededup.drop_lines(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return neardup.keep_first(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are repeated or left out until the sources have their shares."""
+    return mixing.mix_documents(docs)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bucket, batch and slot of every row."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify_language),
+    ("lines", drop_repeated_lines),
+    ("near duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_batches),
+]
+
+#: A model and a search for near duplicates are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
