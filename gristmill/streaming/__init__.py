@@ -1,0 +1 @@
+"""No operator works on streams yet; the batch operators over ordered rows are in operators.timeseries."""
