@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.nulls import name
 from .paths import local_or_s3, spark_path
@@ -42,7 +43,10 @@ def set_index_via_disk(df: DataFrame, column: str, root, **options) -> DataFrame
 def read_partitioned(spark: SparkSession, root, column: str, kind=None) -> DataFrame:
     """The table under root with its partition column as kind: folder names alone would be read as numbers or dates where they look so."""
     df = spark.read.parquet(spark_path(root))
-    return df if kind is None else df.withColumn(column, name(column).cast(kind))
+    if kind is None:
+        return df
+    fields = [f if f.name != column else T.StructField(column, kind) for f in df.schema.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(spark_path(root))
 
 
 def read_partition_files(spark: SparkSession, files: Sequence, column: str, value) -> DataFrame:
