@@ -1,8 +1,8 @@
-"""Connected components by contraction: every root points to the neighbour that is first in a random order, pointers are doubled, edges are contracted."""
+"""Connected components by contraction: every root points to the first in a random order within two steps of it, and edges are contracted."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -11,34 +11,37 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """id, component for each id of edges (a long, b long); component is the smallest id that it can reach.
 
-    Ids, labels and edges stay in tables; the driver sees counts only. Each round takes a constant share of the roots that still have an edge."""
-    both = edges.select("a", "b").where("a <> b")
-    ids = both.select(F.col("a").alias("id")).union(both.select(F.col("b").alias("id"))).distinct()
-    labels = cut(ids.select("id", F.col("id").alias("component")))
-    live = cut(ordered(both))
+    Ids, labels and edges stay in tables; the driver only asks whether edges are left. A star is gone after one round; of a chain, each
+    round leaves a small share, as the order is drawn anew. An edge that joins an id to itself says nothing."""
+    live = cut(ordered(edges.select("a", "b")))
+    labels = live.select(F.col("a").alias("id")).union(live.select(F.col("b").alias("id"))).distinct().withColumn("component", F.col("id"))
     rounds = 0
     while not live.isEmpty():
-        # a fresh random order each round: with a fixed one, a chain in that order would lose a few roots a round only
-        rank = lambda c, salt=rounds: F.struct(F.xxhash64(F.col(c), F.lit(salt)), F.col(c).alias("to"))
-        near = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min(rank("b")).alias("near"))
-        parent = cut(near.select(F.col("a").alias("id"), F.least(rank("a"), F.col("near"))["to"].alias("up")))
-        for _ in range(2):
-            parent = jump(parent)
-        parent = cut(parent)
-        labels = cut(relabel(labels, "component", parent))
+        parent = cut(pointers(live, rounds))
+        labels = relabel(labels, "component", parent)
         live = cut(ordered(relabel(relabel(live, "a", parent), "b", parent)))
         rounds += 1
+        if rounds % 4 == 0:
+            labels = cut(labels)
+    labels = cut(labels)
     least = labels.groupBy("component").agg(F.min("id").alias("least"))
-    return cut(labels.join(least, "component").select("id", F.col("least").alias("component")))
+    return labels.join(least, "component").select("id", F.col("least").alias("component"))
 
 
-def ordered(edges: DataFrame) -> DataFrame:
-    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def pointers(live: DataFrame, salt: int) -> DataFrame:
+    """id, up for each end of an edge: the first within two steps, itself included."""
+
+    def rank(c: str) -> Column:
+        return F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("draw"), F.col(c).alias("to"))
 
+    both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.min(rank("b")).alias("near")).select("a", F.least(rank("a"), "near").alias("near"))
+    two = both.join(one.select(F.col("a").alias("b"), "near"), "b").groupBy("a").agg(F.min("near").alias("further"))
+    return two.select(F.col("a").alias("id"), F.least(rank("a"), "further")["to"].alias("up"))
 
-def jump(parent: DataFrame) -> DataFrame:
-    up = parent.select(F.col("id").alias("up"), F.col("up").alias("further"))
-    return parent.join(up, "up").select("id", F.col("further").alias("up"))
+
+def ordered(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def relabel(rows: DataFrame, column: str, parent: DataFrame) -> DataFrame:

@@ -98,15 +98,15 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         for node, text in given:
             yield node, shingles(text, words).tobytes()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(small(ids), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ids, "node", "left_semi")
     return row_map(texts, sets, "node long, values binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are so similar on their full sets. A hub's set meets its many partners in a join that Spark may split."""
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    sets = full_sets(docs, ids, words)
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = full_sets(docs, small(ids, 2 * pairs.count()), words)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("values").alias("v_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("values").alias("v_b")), "b")
 
     def compare(given: Iterator[tuple]) -> Iterable[tuple]:
@@ -130,7 +130,7 @@ def exposed_links(docs: DataFrame, exposed: DataFrame, known: DataFrame, words:
             for v in own.tolist():
                 yield node, len(own), v
 
-    sets = cut(row_map(full_sets(docs, exposed, words).select("node", "values"), values, "node long, n long, v long", at_once=1 << 15))
+    sets = cut(row_map(full_sets(docs, small(exposed), words).select("node", "values"), values, "node long, n long, v long", at_once=1 << 15))
     # a value's number of holders; only values with two or more can be common, but the others take the first places
     held = sets.groupBy("v").agg(F.count_distinct("node").alias("df"))
     slack = F.floor(F.col("n") * (100 - percent) / F.lit(100)).cast("long")  # places before which the first common value must stand
