@@ -11,8 +11,9 @@ sets are one class and go on as one. Inverted lists of the retained values give
   of both sizes, and values that nobody else has can't be common. In each list, all first meet one hub; the links found
   join them to components; then only pairs of different components in a list are tried, block against block.
 
-Every candidate is verified on full sets. No list, pair or partner is capped. Chances: for two documents at similarity 0.8, all sketch values in cold
-lists would have to be among the differences: below 1e-6 for sets half of which is hot, below 1e-15 without hot values.
+Every candidate is verified on full sets. No list, pair or partner is capped. Chances, for one pair that is exactly at similarity 0.8 and joined by
+nothing else: 2e-7 that the estimate puts it below (32 draws at 0.8, at most 12 common), and 1e-7 that no cold value is common where half of
+the sketch is hot (16 draws at 0.636); without hot values the latter is 0.2 ** 32. Exposed classes are joined exactly.
 
 Nulls and odd input: null or blank texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle, its whole
 sequence. Rows without doc_id take no part: component null, kept. Rows that share a doc_id are one node, with the links of all of them.
@@ -30,15 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_map, small
+from .common import cut, number_of_partitions, row_map, small
 from .graph import components
 
 WORDS = 5
 PERCENT = 80
 K = 32
 LIST = 32
-#: Classes of one list that a task compares with as many others.
-BLOCK = 2048
+#: Classes of one list, and values of their sets, that a task compares with as many others.
+BLOCK, BLOCK_VALUES = 2048, 2_000_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -79,7 +80,7 @@ def fits(a: Column, b: Column, percent: int) -> Column:
 
 def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, k: int = K) -> DataFrame:
     """The pairs (a, b) whose union sketch doesn't put them far below the limit. Within k values the sketch is the set and decides; beyond,
-    a pair at the limit stays unless it is off by over 0.4, which has a chance below 1e-6 for k = 32."""
+    a pair at the limit stays unless it is off by 0.4 or more, which has a chance of 2e-7 for k = 32."""
     one = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     two = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     least = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
@@ -96,7 +97,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def sets(given: Iterator[tuple]) -> Iterable[tuple]:
         for node, text in given:
-            yield node, shingles(text, words).tobytes()
+            own = shingles(text, words)
+            if len(own):
+                yield node, own.tobytes()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ids, "node", "left_semi")
     return row_map(texts, sets, "node long, values binary")
@@ -126,11 +129,11 @@ def exposed_links(docs: DataFrame, exposed: DataFrame, known: DataFrame, words:
 
     def values(given: Iterator[tuple]) -> Iterable[tuple]:
         for node, data in given:
-            own = np.frombuffer(data, np.int64)
+            own, one = np.frombuffer(data, np.int64), xxhash.xxh3_64_intdigest(data) >> 1
             for v in own.tolist():
-                yield node, len(own), v
+                yield node, one, len(own), v
 
-    sets = cut(row_map(full_sets(docs, small(exposed), words).select("node", "values"), values, "node long, n long, v long", at_once=1 << 15))
+    sets = cut(row_map(full_sets(docs, small(exposed), words).select("node", "values"), values, "node long, one long, n long, v long", at_once=1 << 15))
     # a value's number of holders; only values with two or more can be common, but the others take the first places
     held = sets.groupBy("v").agg(F.count_distinct("node").alias("df"))
     slack = F.floor(F.col("n") * (100 - percent) / F.lit(100)).cast("long")  # places before which the first common value must stand
@@ -142,7 +145,7 @@ def exposed_links(docs: DataFrame, exposed: DataFrame, known: DataFrame, words:
 
     # one class's own set at a time
     ranked = sets.join(held, "v").withColumn("slack", slack)
-    prefix = cut(ranked.groupBy("node", "n").applyInPandas(prefixes, "v long, node long, n long, pos long"))
+    prefix = cut(ranked.groupBy("node", "one", "n").applyInPandas(prefixes, "v long, node long, n long, pos long"))
 
     apart = lambda i, j, n, m: (i + j) * (100 + percent) <= (n + m) * (100 - percent)
     hubs = prefix.groupBy("v").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
@@ -151,28 +154,42 @@ def exposed_links(docs: DataFrame, exposed: DataFrame, known: DataFrame, words:
 
     joined = components(known.select("a", "b").union(first))
     marked = prefix.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = marked.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    lists = marked.join(mixed.select("v", "size"), "v").withColumn("own", own)
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    spread = lists.withColumn("other", other).select("v", "node", "n", "pos", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-
-    def compare(given: pd.DataFrame) -> pd.DataFrame:
-        given = given.sort_values("pos", kind="stable")
-        node, n, pos, group, own = (given[c].to_numpy() for c in ("node", "n", "pos", "component", "own"))
-        x, y = given["x"].iloc[0], given["y"].iloc[0]
-        found = []
-        for k in range(len(node)):
-            good = (group[k + 1 :] != group[k]) & ((pos[k + 1 :] + pos[k]) * (100 + percent) <= (n[k + 1 :] + n[k]) * (100 - percent)) & (np.minimum(n[k + 1 :], n[k]) * 100 >= np.maximum(n[k + 1 :], n[k]) * percent)
-            if x != y:
-                good &= own[k + 1 :] != own[k]
-            for b in node[k + 1 :][good].tolist():
-                found.append((min(node[k], b), max(node[k], b)))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    rest = spread.groupBy("v", "x", "y").applyInPandas(compare, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    return first.union(verified(docs, rest, words, percent))
+    mixed = marked.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("values")).where("low <> high")
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("values") / F.lit(BLOCK_VALUES))).cast("int")
+    lists = marked.join(mixed.select("v", blocks.alias("blocks")), "v").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", "node", "n", "pos", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    full = spread.join(full_sets(docs, small(exposed), words), "node")
+    # by number, so that Spark doesn't join these few but busy rows to one task
+    dealt = full.repartition(number_of_partitions(docs.sparkSession), "v", "x", "y")
+    return first.union(cut(dealt.groupBy("v", "x", "y").applyInPandas(lambda given: joining(given, percent), "a long, b long").distinct()))
+
+
+def joining(given: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links that join the components of one list's block, or of two blocks: (v, x, y, node, n, pos, component, own, values). Pairs are compared on full sets, unless
+    they are joined already; of the links, one for each joining comes back."""
+    given = given.sort_values(["pos", "node"], kind="stable")
+    node, n, pos, group, own = (given[c].to_numpy().copy() for c in ("node", "n", "pos", "component", "own"))
+    sets = [np.frombuffer(x, np.int64) for x in given["values"]]
+    two_blocks = given["x"].iloc[0] != given["y"].iloc[0]
+    found = []
+    for k in range(len(node)):
+        later = slice(k + 1, None)
+        good = (group[later] != group[k]) & ((pos[later] + pos[k]) * (100 + percent) <= (n[later] + n[k]) * (100 - percent)) & (np.minimum(n[later], n[k]) * 100 >= np.maximum(n[later], n[k]) * percent)
+        if two_blocks:
+            good &= own[later] != own[k]
+        at = np.flatnonzero(good) + k + 1
+        if not len(at):
+            continue
+        some = [sets[i] for i in at]
+        sizes = np.array([len(x) for x in some])
+        flat = np.concatenate(some)
+        place = np.minimum(np.searchsorted(sets[k], flat), len(sets[k]) - 1)
+        common = np.add.reduceat(sets[k][place] == flat, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+        for i in at[common * 100 >= percent * (sizes + len(sets[k]) - common)]:
+            if group[i] != group[k]:
+                found.append((min(node[k], node[i]), max(node[k], node[i])))
+                group[group == group[i]] = group[k]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
