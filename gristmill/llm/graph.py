@@ -13,17 +13,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Ids, labels and edges stay in tables; the driver only asks whether edges are left. A star is gone after one round; of a chain, each
     round leaves a small share, as the order is drawn anew. An edge that joins an id to itself says nothing."""
-    live = cut(ordered(edges.select("a", "b")))
+    live = cut(ordered(edges.select("a", "b")), ids=True)
     labels = live.select(F.col("a").alias("id")).union(live.select(F.col("b").alias("id"))).distinct().withColumn("component", F.col("id"))
     rounds = 0
     while not live.isEmpty():
-        parent = cut(pointers(live, rounds))
+        parent = cut(pointers(live, rounds), ids=True)
         labels = relabel(labels, "component", parent)
-        live = cut(ordered(relabel(relabel(live, "a", parent), "b", parent)))
+        live = cut(ordered(relabel(relabel(live, "a", parent), "b", parent)), ids=True)
         rounds += 1
         if rounds % 4 == 0:
-            labels = cut(labels)
-    labels = cut(labels)
+            labels = cut(labels, ids=True)
+    labels = cut(labels, ids=True)
     least = labels.groupBy("component").agg(F.min("id").alias("least"))
     return labels.join(least, "component").select("id", F.col("least").alias("component"))
 

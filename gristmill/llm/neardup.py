@@ -7,8 +7,8 @@ sets are one class and go on as one. Inverted lists of the retained values give
   The K smallest values of the pair's union, taken from both sketches, estimate the similarity; pairs far below the limit go.
 - Longer lists are hot: passages that many documents share, or large groups of near copies. A class with enough cold values (half of K; for
   sets within K, more than the similarity leaves out) meets all its partners in cold lists, so hot lists matter only between the other classes.
-  Those are joined exactly by prefixes in the order of rarity: a pair at similarity t has its first common value at places i + j <= (1-t)/(1+t)
-  of both sizes, and values that nobody else has can't be common. In each list, all first meet one hub; the links found
+  Those are joined exactly by prefixes in the order of rarity, as counted in SLOTS slots: a pair at similarity t has its first common value at
+  places i + j <= (1-t)/(1+t) of both sizes, whatever the order, and values that nobody else has can't be common. In each list, all first meet one hub; the links found
   join them to components; then only pairs of different components in a list are tried, block against block.
 
 Every candidate is verified on full sets. No list, pair or partner is capped. Chances, for one pair that is exactly at similarity 0.8 and joined by
@@ -40,6 +40,8 @@ K = 32
 LIST = 32
 #: Classes of one list, and values of their sets, that a task compares with as many others.
 BLOCK, BLOCK_VALUES = 2048, 2_000_000
+#: Slots, a power of two, in which values are counted for the order of rarity: one array of this many 32-bit numbers in each process.
+SLOTS = 1 << 20
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -105,11 +107,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return row_map(texts, sets, "node long, values binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are so similar on their full sets. A hub's set meets its many partners in a join that Spark may split."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = full_sets(docs, small(ids, 2 * pairs.count()), words)
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are so similar on their full sets (node, values). A hub's set meets its many partners in a join that Spark may split."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("values").alias("v_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("values").alias("v_b")), "b")
 
     def compare(given: Iterator[tuple]) -> Iterable[tuple]:
@@ -119,49 +118,66 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
             if 100 * common >= percent * (len(p) + len(q) - common) > 0:
                 yield a, b
 
-    return cut(row_map(both.select("a", "b", "v_a", "v_b"), compare, "a long, b long"))
+    return row_map(both.select("a", "b", "v_a", "v_b"), compare, "a long, b long")
 
 
-def exposed_links(docs: DataFrame, exposed: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links among the exposed classes (node), by an exact prefix join in the order of rarity; known: links (a, b) found before.
+def slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many values of the sets (node, values) fall into each of SLOTS slots. Tasks count for themselves; the driver gets at most SLOTS sums."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for data in batch.column(0):
+                np.add.at(total, np.frombuffer(data.as_buffer(), np.int64) & (SLOTS - 1), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
-    Two classes that known or earlier links already join need no link of their own."""
+    sums = sets.select("values").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int32)
+    out[sums.column("slot").to_numpy()] = np.minimum(sums.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return out
 
-    def values(given: Iterator[tuple]) -> Iterable[tuple]:
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """v, node, n, pos: the rarest values of each set (node, values), as many as a set so similar must share one of. pos counts from 0 in one order for all:
+    by the number of values in the value's slot, then by value. A value alone in its slot is in no other set; it takes its place but has no row."""
+    shared = sets.sparkSession.sparkContext.broadcast(slot_counts(sets))
+    last = SLOTS - 1
+
+    def rows(given: Iterator[tuple]) -> Iterable[tuple]:
         for node, data in given:
-            own, one = np.frombuffer(data, np.int64), xxhash.xxh3_64_intdigest(data) >> 1
-            for v in own.tolist():
-                yield node, one, len(own), v
+            own = np.frombuffer(data, np.int64)
+            often = shared.value[own & last]
+            first = np.lexsort((own, often))[: len(own) * (100 - percent) // 100 + 1]
+            for pos, (v, n) in enumerate(zip(own[first].tolist(), often[first].tolist(), strict=True)):
+                if n > 1:
+                    yield v, node, len(own), pos
 
-    sets = cut(row_map(full_sets(docs, small(exposed), words).select("node", "values"), values, "node long, one long, n long, v long", at_once=1 << 15))
-    # a value's number of holders; only values with two or more can be common, but the others take the first places
-    held = sets.groupBy("v").agg(F.count_distinct("node").alias("df"))
-    slack = F.floor(F.col("n") * (100 - percent) / F.lit(100)).cast("long")  # places before which the first common value must stand
+    return row_map(sets.select("node", "values"), rows, "v long, node long, n long, pos long")
 
-    def prefixes(given: pd.DataFrame) -> pd.DataFrame:
-        given = given.sort_values(["df", "v"]).reset_index(drop=True)
-        given["pos"] = np.arange(len(given))
-        return given[(given.pos <= given.slack) & (given.df > 1)][["v", "node", "n", "pos"]]
 
-    # one class's own set at a time
-    ranked = sets.join(held, "v").withColumn("slack", slack)
-    prefix = cut(ranked.groupBy("node", "one", "n").applyInPandas(prefixes, "v long, node long, n long, pos long"))
+def exposed_links(docs: DataFrame, exposed: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
+    """known, links (a, b) found before, and the links among the exposed classes (node), by an exact prefix join in the order of rarity: links that join the same
+    classes, though not each of them comes back. Two classes that known or earlier links already join need no link of their own."""
+    sets = cut(full_sets(docs, small(exposed), words))
+    prefix = cut(prefixes(sets, percent), ids=True)
 
     apart = lambda i, j, n, m: (i + j) * (100 + percent) <= (n + m) * (100 - percent)
     hubs = prefix.groupBy("v").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
     to_hub = prefix.join(hubs, "v").where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n"), percent) & apart(F.col("pos"), F.col("hub.pos"), F.col("n"), F.col("hub.n")))
-    first = verified(docs, to_hub.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), words, percent)
+    first = verified(sets, to_hub.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), percent)
 
-    joined = components(known.select("a", "b").union(first))
+    joined = cut(components(known.select("a", "b").union(first)), ids=True)
     marked = prefix.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = marked.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("values")).where("low <> high")
     blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("values") / F.lit(BLOCK_VALUES))).cast("int")
     lists = marked.join(mixed.select("v", blocks.alias("blocks")), "v").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", "node", "n", "pos", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    full = spread.join(full_sets(docs, small(exposed), words), "node")
+    full = spread.join(sets, "node")
     # by number, so that Spark doesn't join these few but busy rows to one task
     dealt = full.repartition(number_of_partitions(docs.sparkSession), "v", "x", "y")
-    return first.union(cut(dealt.groupBy("v", "x", "y").applyInPandas(lambda given: joining(given, percent), "a long, b long").distinct()))
+    more = dealt.groupBy("v", "x", "y").applyInPandas(lambda given: joining(given, percent), "a long, b long").distinct()
+    return joined.select(F.col("component").alias("a"), F.col("id").alias("b")).where("a <> b").union(more)
 
 
 def joining(given: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -195,17 +211,19 @@ def joining(given: pd.DataFrame, percent: int) -> pd.DataFrame:
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b (a < b) between classes (node, n, sketch): enough links to join all that are joined by any."""
     postings = classes.select("node", "n", F.explode("sketch").alias("v"))
-    hot = cut(postings.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LIST).select("v"))
+    hot = cut(postings.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LIST).select("v"), ids=True)
     cold = postings.join(small(hot), "v", "left_anti")
     one, two = cold.select("v", F.col("node").alias("a"), F.col("n").alias("n_a")), cold.select("v", F.col("node").alias("b"), F.col("n").alias("n_b"))
     pairs = one.join(two, "v").where((F.col("a") < F.col("b")) & fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-    found = verified(docs, estimated(pairs, classes, percent), words, percent)
+    likely = cut(estimated(pairs, classes, percent), ids=True)
+    ids = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+    found = verified(full_sets(docs, small(ids, 2 * likely.count()), words), likely, percent)
     # classes whose cold values may all be among the differences
     share = postings.join(small(hot), "v", "left_semi").groupBy("node", "n").agg(F.count(F.lit(1)).alias("hot"))
     retained = F.least(F.col("n"), F.lit(K))
     few = F.when(F.col("n") <= K, (retained - F.col("hot")) * 100 <= F.col("n") * (100 - percent)).otherwise(retained - F.col("hot") < K // 2)
-    exposed = cut(share.where(few).select("node").distinct())
-    return found.union(exposed_links(docs, exposed, found, words, percent))
+    exposed = cut(share.where(few).select("node").distinct(), ids=True)
+    return exposed_links(docs, exposed, found, words, percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
