@@ -37,9 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, ids: bool = False) -> DataFrame:
     """df computed once and kept in the shared folder; Spark removes the files when nothing refers to them.
 
-    ids: for a table of a few numbers a row, far smaller than the texts that the shuffle partitions are counted for: an eighth as many files, 8 at least."""
+    ids: for a table of a few numbers a row, far smaller than the texts that the shuffle partitions are counted for: a quarter as many files, 2 at least."""
     shared_dir(df.sparkSession)
-    return (df.coalesce(max(8, number_of_partitions(df.sparkSession) // 8)) if ids else df).checkpoint()
+    return (df.coalesce(max(2, number_of_partitions(df.sparkSession) // 4)) if ids else df).checkpoint()
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
