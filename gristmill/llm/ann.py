@@ -179,7 +179,9 @@ def build_index(nodes: DataFrame, shards: int, m: int = M, ef: int = EF_BUILD) -
             "vectors": v.tobytes(), "width": v.shape[1], "level": graph.level.tobytes(), "near": [x.tobytes() for x in graph.near], "entry": graph.entry,
         }])
 
-    return nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, INDEX)
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
+    # by ranges and by number: hashing the few numbers, or joining small partitions, would give a task several graphs to build
+    return dealt.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(build, INDEX)
 
 
 def scaled_rows(v: np.ndarray) -> np.ndarray:
