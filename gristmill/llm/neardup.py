@@ -246,3 +246,24 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     """docs with one document of each group, the one with the smallest doc_id; the columns stay as they are."""
     gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+
+
+#: DuckDB SQL for near_duplicates(words=4), for a table documents with distinct ids: all pairs that share a shingle, then all that can be reached.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) END AS s FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS v FROM sets
+), linked AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.v = b.v AND a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), ways AS (
+  SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), reached AS (
+  SELECT doc_id AS id, doc_id AS other FROM sets UNION SELECT r.id, w.b FROM reached r JOIN ways w ON r.other = w.a
+), least AS (
+  SELECT id, min(other) AS component_id FROM reached GROUP BY id
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON doc_id = id
+"""

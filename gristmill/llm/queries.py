@@ -49,4 +49,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_mixing, op4_licenses, op5_html, op6_pii, op7_ann, op8_packing, op9_neardup, op10_langid)}
-ORACLE_SQL = {"op2_lines": linededup.SQL, "op3_mixing": mixing.SQL}
+ORACLE_SQL = {"op2_lines": linededup.SQL, "op3_mixing": mixing.SQL, "op9_neardup": neardup.SQL}
