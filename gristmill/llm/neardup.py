@@ -5,15 +5,16 @@ sets are one class and go on as one. Inverted lists of the retained values give
 
 - Lists of at most LIST classes are cold. Two classes in a cold list are a candidate pair if their sizes allow the similarity.
   The K smallest values of the pair's union, taken from both sketches, estimate the similarity; pairs far below the limit go.
-- Longer lists are hot: passages that many documents share, or large groups of near copies. A class with enough cold values (half of K; for
-  sets within K, more than the similarity leaves out) meets all its partners in cold lists, so hot lists matter only between the other classes.
+- Longer lists are hot: passages that many documents share, or large groups of near copies. A class with enough cold values (COLD; for sets
+  within K, more than any partner's sketch can lack) meets all its partners in cold lists, so hot lists matter only between the other classes.
   Those are joined exactly by prefixes in the order of rarity, as counted in SLOTS slots: a pair at similarity t has its first common value at
   places i + j <= (1-t)/(1+t) of both sizes, whatever the order, and values that nobody else has can't be common. In each list, all first meet one hub; the links found
   join them to components; then only pairs of different components in a list are tried, block against block.
 
 Every candidate is verified on full sets. No list, pair or partner is capped. Chances, for one pair that is exactly at similarity 0.8 and joined by
-nothing else: 2e-7 that the estimate puts it below (32 draws at 0.8, at most 12 common), and 1e-7 that no cold value is common where half of
-the sketch is hot (16 draws at 0.636); without hot values the latter is 0.2 ** 32. Exposed classes are joined exactly.
+nothing else: 2e-7 that the estimate puts it below (32 draws at 0.8, at most 12 common), and at most 2e-7 that a class beyond K with COLD cold
+values shares none of them with its partner's sketch. The latter holds whichever values are cold, the largest ones too, which fall out of longer
+variants' sketches: it needs sketches with at most K - COLD = 12 values in common. For sets within K it can't happen. Exposed classes are joined exactly.
 
 Nulls and odd input: null or blank texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle, its whole
 sequence. Rows without doc_id take no part: component null, kept. Rows that share a doc_id are one node, with the links of all of them.
@@ -38,6 +39,8 @@ WORDS = 5
 PERCENT = 80
 K = 32
 LIST = 32
+#: Cold values with which a class beyond K need not be joined exactly.
+COLD = 20
 #: Classes of one list, and values of their sets, that a task compares with as many others.
 BLOCK, BLOCK_VALUES = 2048, 2_000_000
 #: Slots, a power of two, in which values are counted for the order of rarity: one array of this many 32-bit numbers in each process.
@@ -218,10 +221,12 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     likely = cut(estimated(pairs, classes, percent), ids=True)
     ids = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
     found = verified(full_sets(docs, small(ids, 2 * likely.count()), words), likely, percent)
-    # classes whose cold values may all be among the differences
+    # classes whose cold values may all be among the differences, or beyond a longer partner's sketch: of n <= K values, a partner of m has all but
+    # (n - m * t) / (1 + t), and its sketch lacks m - K more; over n * t <= m <= n / t that is n * (1 - t) or n / t - K at most
     share = postings.join(small(hot), "v", "left_semi").groupBy("node", "n").agg(F.count(F.lit(1)).alias("hot"))
     retained = F.least(F.col("n"), F.lit(K))
-    few = F.when(F.col("n") <= K, (retained - F.col("hot")) * 100 <= F.col("n") * (100 - percent)).otherwise(retained - F.col("hot") < K // 2)
+    own = retained - F.col("hot")
+    few = F.when(F.col("n") <= K, (own * 100 <= F.col("n") * (100 - percent)) | ((own + K) * percent <= F.col("n") * 100)).otherwise(own < COLD)
     exposed = cut(share.where(few).select("node").distinct(), ids=True)
     return exposed_links(docs, exposed, found, words, percent)
 

@@ -74,6 +74,33 @@ def test_odd_rows(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def longer_variants(seed, shingles, low, high, rank):
+    """A text of so many shingles and 36 texts that go on from it: by low shingles whose hashes lie below its value of that rank, then by high others."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    base = [word() for _ in range(shingles + 3)]
+    below = neardup.shingles(" ".join(base), 4)[rank]
+    rows = [base]
+    for _ in range(36):
+        w = list(base)
+        for k in range(low + high):
+            while True:
+                new = word()
+                if (neardup.shingles(" ".join([*w[-3:], new]), 4)[0] < below) == (k < low):
+                    break
+            w.append(new)
+        rows.append(w)
+    return [(k, " ".join(w)) for k, w in enumerate(rows)]
+
+
+def test_cold_values_beyond_longer_sketches(spark):
+    """A text's largest values fall out of the sketches of its longer variants and so are cold, but common with none of them."""
+    for n, low, high, rank in ((32, 8, 0, 24), (100, 17, 8, 14)):
+        rows = longer_variants(n, n, low, high, rank)
+        assert {c for _, _, c in brute(rows)} == {0}
+        check(spark, rows)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(200, 150 + k) for k in range(40)] + [(500, 400), (400, 500), (7, 7)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
