@@ -1,6 +1,6 @@
 """Language identification by interpolated Kneser-Ney character models, one a language, in sorted hash arrays.
 
-Training takes a bounded sample of the labelled rows: about SAMPLE_DOCS of each language, chosen by a hash of the id. Their n-gram counts are summed by Spark; the
+Training takes a bounded sample of the labelled rows of every label: about SAMPLE_DOCS of each, fewer beyond 200 labels, chosen by a hash of the id. Their n-gram counts are summed by Spark; the
 driver turns them into tables whose size the sample bounds. For every order the table is one sorted array of 64-bit n-gram hashes and,
 beside it, a row of natural logarithms: for each language the interpolated probability of the last character after the others.
 An n-gram that any language has seen has an entry for all, so one search at the highest order serves all languages; a miss
@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, once, row_map
+from .common import cut, once, row_map, small
 
 ORDER = 4
 #: Documents a language, at most about, that training reads, outside the held-out fold.
 SAMPLE_DOCS = 1500
 #: Of ten sampled documents, one calibrates the limit and isn't counted.
 CALIBRATE = 10
-#: Labels that training knows, at most: the most frequent ones.
-MAX_LANGUAGES = 200
+#: Documents that training reads in all, about: with more than 200 labels each has a smaller sample, of LEAST_DOCS or all of its rows at least. No label is left out.
+SAMPLE_ROWS, LEAST_DOCS = 200 * SAMPLE_DOCS, 20
 DISCOUNT = 0.75
 #: Symbols that are scored at once.
 PIECE = 1 << 16
@@ -174,11 +174,13 @@ def fold(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id, text, lang of about per_language labelled rows of each language outside the held-out fold, chosen by a hash of the id."""
+    """doc_id, text, lang, n (rows of its label) of about per_language labelled rows of each language outside the held-out fold, chosen by a hash of the id."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), ids=True)
+    labels = counts.count()
+    per_label = min(per_language, max(LEAST_DOCS, SAMPLE_ROWS // max(1, labels)))
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang-sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(F.broadcast(counts), "lang").where(u * F.col("n") < per_language).select("doc_id", "text", "lang")
+    return rows.join(small(counts, labels), "lang").where(u * F.col("n") < per_label).select("doc_id", "text", "lang", "n")
 
 
 def counts_of(rows: DataFrame) -> DataFrame:
@@ -216,7 +218,9 @@ def counts_of(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
     """A model from docs (doc_id, text, lang)."""
-    taken = cut(sample(docs, per_language).withColumn("calibrates", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(CALIBRATE)) == 0))
+    # a label of few rows is learned from all of them
+    calibrates = (F.col("n") >= CALIBRATE) & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(CALIBRATE)) == 0)
+    taken = cut(sample(docs, per_language).withColumn("calibrates", calibrates))
     table = counts_of(taken.where("not calibrates")).toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
     model = build(table, languages)

@@ -71,6 +71,17 @@ def test_rows(spark):
     assert kept.columns == df.columns and kept.where("doc_id < 60").count() >= 60
 
 
+def test_every_label_is_learned(spark):
+    """More labels than any list of frequent ones would hold, each with letters of its own, and few rows of most."""
+    word = lambda k: "".join(chr(0x4E00 + 3 * k + j) for j in (0, 1, 2, 1))
+    rows = [(40 * k + j, f"{word(k)} {word(k)[::-1]}", f"l{k:03}") for k in range(230) for j in range(30 if k == 3 else 1 + k % 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {r.lang for r in df.where(langid.fold(df.doc_id) != 0).select("lang").distinct().collect()}
+    assert len(learned) > 200
+    got = langid.predict(df).join(df, "doc_id").collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got if r.lang in learned)
+
+
 def test_table_find():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64))
     table = langid.Table.of(keys, keys)
