@@ -156,3 +156,15 @@ def test_session_and_charts(spark, tmp_path, csvs, capsys):
     with pytest.raises(urllib.error.HTTPError):
         urllib.request.urlopen(url + "none")
     server.shutdown()
+
+
+def test_persist_roundtrip_keeps_the_whole_table(spark, tmp_path, monkeypatch):
+    from gristmill import queries
+
+    monkeypatch.setattr(queries, "scratch", lambda spark: str(tmp_path / "kept"))
+    sf = "/root/testdata/sf0.001"
+    got = queries.persist_roundtrip(spark, sf)
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    kept = spark.read.parquet(str(next((tmp_path / "kept").iterdir())))
+    assert sorted(kept.collect()) == sorted(orders.collect())
+    assert sorted(got.collect()) == sorted(orders.where("o_orderkey % 2 = 0").collect())
