@@ -5,7 +5,8 @@ scores each block from those and from its text, and neighbouring blocks together
 trained by maximum likelihood (forward-backward, with a quadratic penalty) on the labelled pages that labelled_pages() composes: articles
 amid menus, headers, footers, sidebars, notices, adverts, forms and reader comments, in many wordings and nestings.
 
-Scripts, styles and comments in the markup are no text. Character references are decoded, white space within a block becomes one
+Scripts, styles and comments in the markup are no text, and they end no block; nothing else is dropped before the field judges it: formulas, drawings, and what
+noscript, template, object and iframe hold are text of the block around them, unless block-level tags within cut it. Character references are decoded, white space within a block becomes one
 space, and the article's blocks are joined in page order by a blank line. Nulls: a null html is empty and gives the empty text; null ids and urls stay
 null. Repeated rows each give their row. Pages are read whole, in time linear in their length, whether well formed or not.
 """
@@ -26,8 +27,14 @@ TRAINING_PAGES = 400
 ROUNDS = 150
 PENALTY = 0.02
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template svg iframe object math".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr noscript template iframe object param embed svg math".split())
+RAW = frozenset("script style".split())
+#: Tags that end a drawing or formula that was left open; all others within one are its own. SPACED ones part words there.
+BREAKS = frozenset(
+    "html head body main article section nav aside header footer h1 h2 h3 h4 h5 h6 p div blockquote pre ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend label button select option textarea input "
+    "figure figcaption address details summary hr center hgroup dialog menu search".split()
+)
+SPACED = frozenset("text title desc mtr mtd annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select body article section div main aside nav".split())
@@ -66,7 +73,7 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         del stack[k:]
 
     at, last = 0, page.rfind(">")
-    in_link = 0
+    in_link = drawn = 0
     while at < len(page):
         lt = page.find("<", at)
         if lt < 0 or lt > last:
@@ -94,17 +101,23 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         if name == "br":
             parts.append(" ")
             continue
+        if name in RAW:
+            if not closing and not m[3].endswith("/>"):
+                close = re.compile(f"</{name}", re.I).search(page, at)
+                at = len(page) if not close else page.find(">", close.start()) + 1 or len(page)
+            continue
         if name in INLINE:
             if name == "a":
                 in_link = 0 if closing else 1
+            elif name in ("svg", "math") and not m[3].endswith("/>"):
+                drawn = max(0, drawn - 1) if closing else drawn + 1
             continue
-        end()
-        in_link = 0
-        if name in RAW and not closing:
-            if not m[3].endswith("/>"):
-                close = re.compile(f"</{name}", re.I).search(page, at)
-                at = len(page) if not close else page.find(">", close.start()) + 1 or len(page)
+        if drawn and name not in BREAKS:
+            if name in SPACED:
+                parts.append(" ")
             continue
+        end()
+        in_link = drawn = 0
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:

@@ -52,6 +52,18 @@ def test_markup():
         htmltext.main_text(odd, field)
 
 
+def test_only_scripts_and_styles_are_dropped():
+    texts = lambda page: [t for t, _ in htmltext.blocks(page)]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be <svg><g><title>a</title><text>drawn</text></g></svg> in<script>no</script> one.</p>") == ["Let x=2 be a drawn in one."]
+    assert texts("<p>See <object data=x><param name=y>the table</object> and <noscript>its still</noscript> <iframe src=x>frame</iframe>.</p>") == ["See the table and its still frame."]
+    for name in ("noscript", "object", "svg", "math", "template", "iframe"):
+        assert texts(f"<p>One<{name}>two</p><p>three</p>") == ["Onetwo", "three"]
+    assert texts("<p>One<style>p {}</style> two</p><svg><path d=x /><circle></svg><h2>Three</h2>") == ["One two", "Three"]
+    field = htmltext.trained()
+    page = "<nav><a href=x>Home</a></nav><article><p>Some words are here, and <math><mi>y</mi></math> more.</p><noscript><p>This is the rest of it, all told.</p></article>"
+    assert htmltext.main_text(page, field) == "Some words are here, and y more.\n\nThis is the rest of it, all told."
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>Some words are here, and more.</p></article>", 5), (1, "u", "<article><p>Some words are here, and more.</p></article>", 5), (None, None, None, None)], "page_id long, url string, html string, text int")
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in htmltext.extract(df).collect()), key=str)
