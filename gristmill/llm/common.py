@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Rows that a broadcast side may have at most. Such sides hold a few short columns, so 100,000 rows are some MB.
 BROADCAST_ROWS = 100_000
+#: Slots that ids are hashed to where a filter in front of a shuffle needs no exact answer: as many numbers are broadcast at most, whatever the data.
+ID_SLOTS = 1 << 20
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
 
@@ -35,11 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, ids: bool = False) -> DataFrame:
-    """df computed once and kept in the shared folder; Spark removes the files when nothing refers to them.
+    """df computed once and kept in the shared folder. Where spark.cleaner.referenceTracking.cleanCheckpoints is set, Spark removes the files when nothing refers
+    to them any more; without it they stay until the folder is emptied.
 
-    ids: for a table of a few numbers a row, far smaller than the texts that the shuffle partitions are counted for: a quarter as many files, 2 at least."""
+    ids: for a table of a few numbers a row, far smaller than the texts that the shuffle partitions are counted for: its rows are dealt anew to a quarter as many files,
+    2 at least; the tasks that make them stay as many as they are."""
     shared_dir(df.sparkSession)
-    return (df.coalesce(max(2, number_of_partitions(df.sparkSession) // 4)) if ids else df).checkpoint()
+    return (df.repartition(max(2, number_of_partitions(df.sparkSession) // 4)) if ids else df).checkpoint()
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -49,6 +53,17 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
+def slot_of(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(ID_SLOTS)).cast("int")
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose column may be among that of ids: all that are, and others that share a slot with one. Nothing is shuffled but ids' slots. With far more ids than
+    slots nearly all rows pass, which costs the shuffle that follows what it would have cost anyway."""
+    slots = ids.select(slot_of(F.col(column)).alias("__slot")).distinct()
+    return rows.join(F.broadcast(slots), slot_of(F.col(column)) == F.col("__slot"), "left_semi")
+
+
 def n_words(text: Column) -> Column:
     """The number of runs of other characters than ASCII white space; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

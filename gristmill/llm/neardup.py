@@ -9,7 +9,7 @@ sets are one class and go on as one. Inverted lists of the retained values give
   within K, more than any partner's sketch can lack) meets all its partners in cold lists, so hot lists matter only between the other classes.
   Those are joined exactly by prefixes in the order of rarity, as counted in SLOTS slots: a pair at similarity t has its first common value at
   places i + j <= (1-t)/(1+t) of both sizes, whatever the order, and values that nobody else has can't be common. In each list, all first meet one hub; the links found
-  join them to components; then only pairs of different components in a list are tried, block against block.
+  join them to components; then only lists that hold several components are compared on, block against block.
 
 Every candidate is verified on full sets. No list, pair or partner is capped. Chances, for one pair that is exactly at similarity 0.8 and joined by
 nothing else: 2e-7 that the estimate puts it below (32 draws at 0.8, at most 12 common), and at most 2e-7 that a class beyond K with COLD cold
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, number_of_partitions, row_map, small
+from .common import cut, maybe_in, number_of_partitions, row_map, small
 from .graph import components
 
 WORDS = 5
@@ -41,8 +41,14 @@ K = 32
 LIST = 32
 #: Cold values with which a class beyond K need not be joined exactly.
 COLD = 20
-#: Classes of one list, and values of their sets, that a task compares with as many others.
-BLOCK, BLOCK_VALUES = 2048, 2_000_000
+#: Classes of one family, and values of their sets, that a task compares with as many others.
+BLOCK, BLOCK_VALUES = 512, 500_000
+#: Classes up to which lists that share members are compared as one family.
+FAMILY = 1 << 16
+#: Values, columns of a matrix, that are counted at once.
+COLUMNS = 4096
+#: Hot values up to which they are broadcast, as 64-bit numbers: some 30 MB.
+HOT_VALUES = 1_000_000
 #: Slots, a power of two, in which values are counted for the order of rarity: one array of this many 32-bit numbers in each process.
 SLOTS = 1 << 20
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -98,16 +104,18 @@ def estimated(pairs: DataFrame, sketches: DataFrame, percent: int, k: int = K) -
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """node, values (the set as bytes) of the documents in ids (node)."""
+    """node, values (the set as bytes) and ids' other columns, of the documents in ids (node, and more). Texts of others go before the shuffle, by the slots of their ids."""
+    more = [f for f in ids.schema.fields if f.name != "node"]
 
     def sets(given: Iterator[tuple]) -> Iterable[tuple]:
-        for node, text in given:
+        for node, text, *rest in given:
             own = shingles(text, words)
             if len(own):
-                yield node, own.tobytes()
+                yield node, own.tobytes(), *rest
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ids, "node", "left_semi")
-    return row_map(texts, sets, "node long, values binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null")
+    found = maybe_in(texts, ids, "node").join(ids, "node").select("node", "text", *[f.name for f in more])
+    return row_map(found, sets, ", ".join(["node long, values binary", *[f"{f.name} {f.dataType.simpleString()}" for f in more]]))
 
 
 def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -159,55 +167,74 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return row_map(sets.select("node", "values"), rows, "v long, node long, n long, pos long")
 
 
-def exposed_links(docs: DataFrame, exposed: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
-    """known, links (a, b) found before, and the links among the exposed classes (node), by an exact prefix join in the order of rarity: links that join the same
-    classes, though not each of them comes back. Two classes that known or earlier links already join need no link of their own."""
-    sets = cut(full_sets(docs, small(exposed), words))
+def exposed_links(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """known, links (a, b) found before, and the links among the exposed classes (node, values), by an exact prefix join in the order of rarity: links that join the same
+    classes, though not each of them comes back. Two classes that known or earlier links already join need no link of their own.
+
+    Lists hold ids. In each, all first meet one hub. What is then left to compare are the lists whose members are not all joined yet: lists that share members make a
+    family, and a family's sets meet once, block against block, instead of once a list. A family beyond FAMILY classes is compared list by list, so that
+    nothing chained by accident is compared as a whole; the links are the same."""
     prefix = cut(prefixes(sets, percent), ids=True)
 
     apart = lambda i, j, n, m: (i + j) * (100 + percent) <= (n + m) * (100 - percent)
-    hubs = prefix.groupBy("v").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
+    # cut, here and below, so that both sides of a join by v are plain exchanges, whose hot values Spark can split
+    hubs = cut(prefix.groupBy("v").agg(F.min(F.struct("pos", "node", "n")).alias("hub")), ids=True)
     to_hub = prefix.join(hubs, "v").where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n"), percent) & apart(F.col("pos"), F.col("hub.pos"), F.col("n"), F.col("hub.n")))
     first = verified(sets, to_hub.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), percent)
 
     joined = cut(components(known.select("a", "b").union(first)), ids=True)
-    marked = prefix.join(joined.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = marked.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("values")).where("low <> high")
+    marked = cut(prefix.join(joined.withColumnRenamed("id", "node"), "node", "left").select("v", "node", "n", F.coalesce("component", "node").alias("component")), ids=True)
+    mixed = cut(marked.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("v"), ids=True)
+    lists = cut(marked.join(mixed, "v").join(hubs.select("v", F.col("hub.node").alias("hub")), "v"), ids=True)
+    family = cut(components(lists.select(F.col("hub").alias("a"), F.col("node").alias("b"))), ids=True).select(F.col("id").alias("node"), F.col("component").alias("family"))
+    sizes = cut(family.groupBy("family").agg(F.count(F.lit(1)).alias("members")), ids=True)
+    key = F.when(F.col("members") <= FAMILY, F.struct("family", F.lit(0).cast("long").alias("v"))).otherwise(F.struct("family", "v")).alias("key")
+    member = cut(lists.join(family.join(sizes, "family"), "node").select(key, "node", "n", "component").distinct(), ids=True)
+    counts = cut(member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("values")), ids=True)
     blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("values") / F.lit(BLOCK_VALUES))).cast("int")
-    lists = marked.join(mixed.select("v", blocks.alias("blocks")), "v").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", "node", "n", "pos", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    dealt = member.join(counts.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "node", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     full = spread.join(sets, "node")
     # by number, so that Spark doesn't join these few but busy rows to one task
-    dealt = full.repartition(number_of_partitions(docs.sparkSession), "v", "x", "y")
-    more = dealt.groupBy("v", "x", "y").applyInPandas(lambda given: joining(given, percent), "a long, b long").distinct()
+    by_block = full.repartition(number_of_partitions(sets.sparkSession), "key", "x", "y")
+    more = by_block.groupBy("key", "x", "y").applyInPandas(lambda given: joining(given, percent), "a long, b long").distinct()
     return joined.select(F.col("component").alias("a"), F.col("id").alias("b")).where("a <> b").union(more)
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two sets have in common: a product of 0-1 matrices, COLUMNS values at a time; a value in one set only takes no column."""
+    sizes = np.array([len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1
+    keep = shared[column]
+    row, column = np.repeat(np.arange(len(sets)), sizes)[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(shared.sum()), COLUMNS):
+        a, z = np.searchsorted(column, (low, low + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:z], column[a:z] - low] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
 def joining(given: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links that join the components of one list's block, or of two blocks: (v, x, y, node, n, pos, component, own, values). Pairs are compared on full sets, unless
-    they are joined already; of the links, one for each joining comes back."""
-    given = given.sort_values(["pos", "node"], kind="stable")
-    node, n, pos, group, own = (given[c].to_numpy().copy() for c in ("node", "n", "pos", "component", "own"))
+    """Links that join the components of one block, or of two blocks: (key, x, y, node, component, own, values). Pairs are compared on full sets;
+    of the links, one for each joining comes back."""
+    given = given.sort_values("node", kind="stable")
+    node, group, own = (given[c].to_numpy().copy() for c in ("node", "component", "own"))
     sets = [np.frombuffer(x, np.int64) for x in given["values"]]
-    two_blocks = given["x"].iloc[0] != given["y"].iloc[0]
+    n = np.array([len(x) for x in sets])
+    common = common_counts(sets)
+    good = np.triu((group[:, None] != group) & (common * 100 >= percent * (n[:, None] + n - common)), 1)
+    if given["x"].iloc[0] != given["y"].iloc[0]:
+        good &= own[:, None] != own
     found = []
-    for k in range(len(node)):
-        later = slice(k + 1, None)
-        good = (group[later] != group[k]) & ((pos[later] + pos[k]) * (100 + percent) <= (n[later] + n[k]) * (100 - percent)) & (np.minimum(n[later], n[k]) * 100 >= np.maximum(n[later], n[k]) * percent)
-        if two_blocks:
-            good &= own[later] != own[k]
-        at = np.flatnonzero(good) + k + 1
-        if not len(at):
-            continue
-        some = [sets[i] for i in at]
-        sizes = np.array([len(x) for x in some])
-        flat = np.concatenate(some)
-        place = np.minimum(np.searchsorted(sets[k], flat), len(sets[k]) - 1)
-        common = np.add.reduceat(sets[k][place] == flat, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
-        for i in at[common * 100 >= percent * (sizes + len(sets[k]) - common)]:
-            if group[i] != group[k]:
-                found.append((min(node[k], node[i]), max(node[k], node[i])))
-                group[group == group[i]] = group[k]
+    for k, i in zip(*np.nonzero(good), strict=True):
+        if group[i] != group[k]:
+            found.append((min(node[k], node[i]), max(node[k], node[i])))
+            group[group == group[i]] = group[k]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -215,20 +242,21 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
     """a, b (a < b) between classes (node, n, sketch): enough links to join all that are joined by any."""
     postings = classes.select("node", "n", F.explode("sketch").alias("v"))
     hot = cut(postings.groupBy("v").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LIST).select("v"), ids=True)
-    cold = postings.join(small(hot), "v", "left_anti")
+    n_hot = hot.count()
+    cold = postings.join(small(hot, n_hot, HOT_VALUES), "v", "left_anti")
     one, two = cold.select("v", F.col("node").alias("a"), F.col("n").alias("n_a")), cold.select("v", F.col("node").alias("b"), F.col("n").alias("n_b"))
     pairs = one.join(two, "v").where((F.col("a") < F.col("b")) & fits(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
     likely = cut(estimated(pairs, classes, percent), ids=True)
-    ids = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-    found = verified(full_sets(docs, small(ids, 2 * likely.count()), words), likely, percent)
     # classes whose cold values may all be among the differences, or beyond a longer partner's sketch: of n <= K values, a partner of m has all but
     # (n - m * t) / (1 + t), and its sketch lacks m - K more; over n * t <= m <= n / t that is n * (1 - t) or n / t - K at most
-    share = postings.join(small(hot), "v", "left_semi").groupBy("node", "n").agg(F.count(F.lit(1)).alias("hot"))
+    share = postings.join(small(hot, n_hot, HOT_VALUES), "v", "left_semi").groupBy("node", "n").agg(F.count(F.lit(1)).alias("hot"))
     retained = F.least(F.col("n"), F.lit(K))
     own = retained - F.col("hot")
     few = F.when(F.col("n") <= K, (own * 100 <= F.col("n") * (100 - percent)) | ((own + K) * percent <= F.col("n") * 100)).otherwise(own < COLD)
-    exposed = cut(share.where(few).select("node").distinct(), ids=True)
-    return exposed_links(docs, exposed, found, words, percent)
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node"), F.lit(False).alias("exposed")).union(share.where(few).select("node", F.lit(True).alias("exposed")))
+    sets = cut(full_sets(docs, cut(ends.groupBy("node").agg(F.max("exposed").alias("exposed")), ids=True), words))
+    found = verified(sets.select("node", "values"), likely, percent)
+    return exposed_links(sets.where("exposed").select("node", "values"), found, percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -237,13 +265,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     some = rows.where("doc_id is not null and n > 0")
     classes = cut(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     edges = links(docs, classes.select("node", "n", "sketch"), words, percent)
-    member = rows.select("doc_id", "n", "f1", "f2").join(classes.select("f1", "f2", "node"), ["f1", "f2"], "left")
     # rows that share a doc_id but not a set
-    torn = member.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
-    same = member.where("n > 0").join(torn, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    found = components(edges.union(same))
-    part = member.join(found.withColumnRenamed("id", "node"), "node", "left")
-    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "node"))
+    label = classes.select("f1", "f2", "node")
+    member = some.select("doc_id", "f1", "f2").join(label, ["f1", "f2"])
+    torn = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    same = member.join(torn, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+    found = components(edges.union(same)).withColumnRenamed("id", "node")
+    part = rows.select("doc_id", "n", "f1", "f2").join(cut(label.join(found, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))), ["f1", "f2"], "left")
+    component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return part.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
