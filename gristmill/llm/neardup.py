@@ -184,9 +184,9 @@ def exposed_links(sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
     joined = cut(components(known.select("a", "b").union(first)), ids=True)
     marked = cut(prefix.join(joined.withColumnRenamed("id", "node"), "node", "left").select("v", "node", "n", F.coalesce("component", "node").alias("component")), ids=True)
-    mixed = cut(marked.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("v"), ids=True)
-    lists = cut(marked.join(mixed, "v").join(hubs.select("v", F.col("hub.node").alias("hub")), "v"), ids=True)
-    family = cut(components(lists.select(F.col("hub").alias("a"), F.col("node").alias("b"))), ids=True).select(F.col("id").alias("node"), F.col("component").alias("family"))
+    mixed = cut(marked.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("least")).where("low <> high").select("v", "least"), ids=True)
+    lists = cut(marked.join(mixed, "v"), ids=True)
+    family = cut(components(lists.select(F.col("least").alias("a"), F.col("node").alias("b"))), ids=True).select(F.col("id").alias("node"), F.col("component").alias("family"))
     sizes = cut(family.groupBy("family").agg(F.count(F.lit(1)).alias("members")), ids=True)
     key = F.when(F.col("members") <= FAMILY, F.struct("family", F.lit(0).cast("long").alias("v"))).otherwise(F.struct("family", "v")).alias("key")
     member = cut(lists.join(family.join(sizes, "family"), "node").select(key, "node", "n", "component").distinct(), ids=True)

@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+
 from gristmill.llm import graph, neardup
 
 
@@ -65,6 +68,39 @@ def test_equals_brute_force_with_hot_lists(spark):
     check(spark, rows)
 
 
+def test_every_way_gives_the_same(spark, monkeypatch):
+    """Families of many blocks, families compared list by list, and no broadcast of hot values."""
+    rows = corpus(5, 60, 130, 0.6)
+    for block, family, hot in ((16, 1 << 16, 1_000_000), (16, 20, 0)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "FAMILY", family)
+        monkeypatch.setattr(neardup, "HOT_VALUES", hot)
+        check(spark, rows)
+
+
+def test_common_counts(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(20)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) if i != j else None for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    got = neardup.common_counts(sets)
+    assert all(got[i, j] == want[i][j] for i in range(20) for j in range(20) if i != j)
+
+
+def lost(n, common, k=neardup.K):
+    """The chance that two sets of n values with so many in common have at most 12 of them among the k smallest of their union."""
+    union = 2 * n - common
+    ways = lambda c: math.comb(common, c) * math.comb(union - common, k - c)
+    return sum(ways(c) for c in range(13)) / math.comb(union, k)
+
+
+def test_chance_of_a_lost_link():
+    """The figure of the description, worked out without rounding for pairs just at the limit: 8 of 10 values of the union are common."""
+    for n in (45, 90, 450, 4500, 45000):
+        assert lost(n, 8 * (2 * n) // 18) < 3e-7
+    assert lost(4600, 8000 * 4600 // 9000 + 200) < 3e-8
+
+
 def test_odd_rows(spark):
     rows = corpus(2, 12, 6, 0.3)
     rows += [rows[3], (3, rows[9][1]), (None, rows[4][1]), (None, None), (800, None), (801, ""), (802, " \t"), (803, "one two"), (804, "ONE  two"), (805, "one two three"), (806, "x " * 30_000)]
