@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. It is deleted when the application ends in good order, as nothing else tells when its tables are read for the last time."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
+
+
 def cut(df: DataFrame, ids: bool = False) -> DataFrame:
     """df computed once and kept in the shared folder. Where spark.cleaner.referenceTracking.cleanCheckpoints is set, Spark removes the files when nothing refers
     to them any more; without it they stay until the folder is emptied.

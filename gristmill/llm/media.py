@@ -2,37 +2,46 @@
 
 A text's payload is its UTF-8 bytes, filled with bytes 255 up to a positive multiple of 576. A rolling gear hash over the payload
 chooses the cuts, so equal stretches in different payloads give equal chunks. A media is stored as a recipe (length and ordered chunk digests)
-and its chunks, each a compressed frame of 8-bit samples under its SHA-256. Reading back joins recipes to the chunk store, tests
-every chunk and the whole payload against their digests, and fails on any difference.
+and its chunks, each a compressed frame of 8-bit samples under its SHA-256. Recipes and chunks are Parquet tables in a folder that the cluster shares. Reading back
+opens those files, joins recipes to chunks, tests every chunk and the whole payload against their digests, and fails on any difference or gap.
 
-Equal payloads are one media: they are stored and read back once, whatever the number of documents that hold them. Nulls: a null
+Equal chunks are stored once. Only chunks that may be repeated are shuffled: digests are counted first, and a chunk whose digest shares no slot with a repeated one
+is written where it was cut. A media of one chunk has its chunk's digest, so it is read back where the chunk lies; only the parts of longer media are gathered.
+Equal payloads are one media, read back once, whatever the number of documents that hold them. Nulls: a null
 text is the empty text (576 bytes of 255); a null doc_id stays null. Repeated rows each give their row. Payloads are never cut short:
-MAX_CHUNK bounds a chunk, not a media. An empty table gives empty results.
+MAX_CHUNK bounds a chunk, not a media. One media is assembled in one task's memory, as one text is. An empty table gives empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, exists, row_map
+from .common import ID_SLOTS, exists, maybe_in, number_of_partitions, own_folder, remove, row_map
 
 UNIT = 576
-MIN_CHUNK, MAX_CHUNK = 4096, 65536
-#: A cut has MASK's bits of its hash zero: on average every 16 KB beyond MIN_CHUNK.
-MASK = 0x3FFF0000
+MIN_CHUNK, MAX_CHUNK = 2048, 32768
+#: A cut has MASK's bits of its hash zero: on average every 8 KB beyond MIN_CHUNK.
+MASK = 0x1FFF0000
 WINDOW = 32
 LEVEL = 6
+#: Digests that a task remembers.
+SEEN = 50_000
 GEAR = np.random.default_rng(576).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
+RECIPES = "doc_id long, n_bytes long, media binary, digests array<binary>"
+CHUNKS = "digest binary, length int, frame binary"
+
+
 def payload_of(text: str | None) -> tuple[bytes, int]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     return raw + b"\xff" * (-len(raw) % UNIT if raw else UNIT), len(raw)
@@ -97,52 +106,62 @@ def recipes(docs: DataFrame) -> DataFrame:
             data, n = payload_of(text)
             yield doc_id, n, hashlib.sha256(data).digest(), [hashlib.sha256(c).digest() for c in chunks_of(data)]
 
-    return row_map(docs.select("doc_id", "text"), rows, "doc_id long, n_bytes long, media binary, digests array<binary>")
+    return row_map(docs.select(F.col("doc_id").cast("long"), "text"), rows, RECIPES)
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """digest, length, frame of every chunk of every row; a partition gives no chunk twice in a row of copies."""
+def chunk_rows(docs: DataFrame, marked: np.ndarray | None = None, wanted: bool = True) -> DataFrame:
+    """digest, length, frame of the chunks of every row whose digest's slot is marked (or, if not wanted, isn't); of all without marks. Narrow. A task gives a chunk
+    at most once in a run of SEEN others. marked has ID_SLOTS truth values."""
+    shared = None if marked is None else docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
+    slots = ID_SLOTS
 
     def rows(given: Iterator[tuple]) -> Iterable[tuple]:
         pack = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+        bits = None if shared is None else np.unpackbits(shared.value).astype(bool)
+        seen: dict[bytes, None] = {}
         for (text,) in given:
             for c in chunks_of(payload_of(text)[0]):
-                yield hashlib.sha256(c).digest(), len(c), pack.compress(c)
+                digest = hashlib.sha256(c).digest()
+                if digest in seen or bits is not None and bits[int.from_bytes(digest[:3], "big") % slots] != wanted:
+                    continue
+                seen[digest] = None
+                if len(seen) > SEEN:
+                    del seen[next(iter(seen))]
+                yield digest, len(c), pack.compress(c)
 
     return row_map(docs.select("text"), rows, "digest binary, length int, frame binary")
 
 
-def chunk_store(docs: DataFrame) -> DataFrame:
-    """Each distinct chunk once: digest, length, frame. Equal chunks meet within a task before the shuffle, so a hot chunk costs a row a task."""
-    return chunk_rows(docs).groupBy("digest").agg(F.first("length").alias("length"), F.first("frame").alias("frame"))
+def distinct_chunks(rows: DataFrame) -> DataFrame:
+    """Each chunk once. Equal ones meet within a task before the shuffle, so a hot chunk costs a row a task."""
+    return rows.groupBy("digest").agg(F.first("length").alias("length"), F.first("frame").alias("frame"))
 
 
-def new_chunks(found: DataFrame, store: DataFrame) -> DataFrame:
-    """The chunks of found that store does not hold yet."""
-    return found.join(store.select("digest"), "digest", "left_anti")
+def marks(*digests: DataFrame) -> np.ndarray:
+    """Which of ID_SLOTS slots hold one of these digests: at most so many numbers reach the driver."""
+    slot = (F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("int") % ID_SLOTS).alias("slot")
+    out = np.zeros(ID_SLOTS, bool)
+    for found in digests:
+        out[found.select(slot).distinct().toArrow().column("slot").to_numpy()] = True
+    return out
 
 
 def distinct_media(refs: DataFrame) -> DataFrame:
     return refs.groupBy("media").agg(F.first("n_bytes").alias("n_bytes"), F.first("digests").alias("digests"))
 
 
-def read_back(media: DataFrame, store: DataFrame) -> DataFrame:
-    """media, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks and n_bytes of each distinct media, from stored chunks alone.
-
-    A media of one chunk is whole as soon as its digest has met the store; only the others are gathered by a second shuffle."""
-    place = media.select("media", "n_bytes", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("pos", "digest"))
-    columns = ["media", "n_bytes", "parts"]
-
-    def joined(which: Column) -> DataFrame:
-        return place.where(which).join(store, "digest", "left")
+def read_back(refs: DataFrame, store: DataFrame) -> DataFrame:
+    """media, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks of each distinct media of refs, from stored chunks alone. Chunks that are only parts
+    of media give rows under their own digests, too, which meet no recipe."""
+    single = store.select(F.col("digest").alias("media"), F.array(F.struct(F.lit(0).alias("pos"), "digest", "length", "frame")).alias("parts"))
+    longer = distinct_media(refs.where(F.size("digests") > 1))
+    place = longer.select("media", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("pos", "digest"))
+    joined = place.join(maybe_in(store, place, "digest"), "digest", "left")
+    parts = joined.groupBy("media").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "length", "frame"))).alias("parts")).select("media", "parts")
+    return row_map(single.union(parts), verified, READ_SCHEMA)
 
-    part = F.struct("pos", "digest", "length", "frame").alias("part")
-    single = joined(F.col("n_chunks") == 1).select("media", "n_bytes", F.array(part).alias("parts"))
-    several = joined(F.col("n_chunks") > 1).groupBy("media", "n_bytes").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    return row_map(single.select(columns).union(several.select(columns)), verified, READ_SCHEMA)
 
-
-READ_SCHEMA = "media binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
+READ_SCHEMA = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
 
 
 def assemble(media: bytes, parts: list[dict]) -> bytes:
@@ -163,38 +182,52 @@ def assemble(media: bytes, parts: list[dict]) -> bytes:
 
 
 def verified(given: Iterator[tuple]) -> Iterable[tuple]:
-    for media, n_bytes, parts in given:
+    for media, parts in given:
         data = assemble(media, parts)
-        stored = recipe_of(n_bytes, [p["digest"] for p in parts], [p["length"] for p in parts])
+        # UTF-8 has no byte 255, so what isn't filling is the text
+        stored = recipe_of(len(data.rstrip(b"\xff")), [p["digest"] for p in parts], [p["length"] for p in parts])
         whole = hashlib.sha256(stored)
         for p in parts:
             whole.update(p["frame"])
-        yield media, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(stored) + sum(len(p["frame"]) for p in parts), whole.hexdigest(), features(data), len(parts)
+        yield media, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(stored) + sum(len(p["frame"]) for p in parts), whole.hexdigest(), features(data), len(parts)
 
 
 def describe(refs: DataFrame, store: DataFrame) -> DataFrame:
     """doc_id and what read_back() gives, for every row of refs. The many rows of a hot media are joined to its one row last, without payloads."""
-    back = read_back(distinct_media(refs), store).drop("n_bytes")
-    return refs.select("doc_id", "n_bytes", "media").join(back, "media").drop("media")
+    found = refs.select("doc_id", "n_bytes", "media").join(read_back(refs, store), "media", "left")
+    missing = F.raise_error(F.concat(F.lit("not in the store: media "), F.hex("media")))
+    return found.withColumn("payload_bytes", F.when(F.col("payload_bytes").isNotNull(), F.col("payload_bytes")).otherwise(missing.cast("long"))).drop("media")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    return describe(cut(recipes(docs)), chunk_store(docs))  # the recipes are short and are read three times
+    """The columns of every document's media, written to a store of this query's own and read from its files."""
+    spark = docs.sparkSession
+    path = own_folder(spark, "media")
+    write_store(docs, path)
+    return describe(*read_store(spark, path))
 
 
 def write_store(docs: DataFrame, path: str) -> None:
-    """Adds docs to the store under path: chunks that it does not hold yet, and recipes. Both are Parquet, and are read by read_store()."""
+    """Adds docs to the store under path: recipes, and the chunks that it does not hold yet. Both are Parquet, and are read by read_store()."""
     spark = docs.sparkSession
-    found = chunk_store(docs)
-    if exists(spark, f"{path}/chunks"):
-        found = new_chunks(found, spark.read.parquet(f"{path}/chunks"))
-    found.write.mode("append").parquet(f"{path}/chunks")
-    recipes(docs).write.mode("append").parquet(f"{path}/recipes")
+    new = f"{path}/recipes-{uuid.uuid4().hex}"
+    recipes(docs).write.parquet(new)
+    digests = spark.read.parquet(new).select("media", F.explode("digests").alias("digest"))
+    often = [digests.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")]
+    old = spark.read.parquet(f"{path}/chunks").select("digest") if exists(spark, f"{path}/chunks") else None
+    marked = marks(*often, *([old] if old is not None else []))
+    maybe = distinct_chunks(chunk_rows(docs, marked, True))
+    if old is not None:
+        maybe = maybe.join(old, "digest", "left_anti")
+    maybe.write.parquet(f"{path}/new")  # apart, as it reads what it will be added to
+    chunk_rows(docs, marked, False).write.mode("append").parquet(f"{path}/chunks")
+    spark.read.parquet(f"{path}/new").coalesce(max(1, number_of_partitions(spark) // 4)).write.mode("append").parquet(f"{path}/chunks")
+    remove(spark, f"{path}/new")
 
 
 def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(recipes, chunk store) under path."""
-    return spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
+    return spark.read.schema(RECIPES).parquet(f"{path}/recipes-*"), spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
 
 
 def payloads(refs: DataFrame, store: DataFrame) -> DataFrame:
@@ -208,3 +241,13 @@ def payloads(refs: DataFrame, store: DataFrame) -> DataFrame:
 
     return refs.select("doc_id", "n_bytes", "media").join(row_map(parts.select("media", "parts"), rows, "media binary, payload binary"), "media").drop("media")
 
+
+#: DuckDB SQL for the payload columns of media_columns(), for a table documents.
+SQL = r"""
+WITH sized AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents
+), filled AS (
+  SELECT doc_id, octet_length(raw) AS n_bytes, raw || repeat('\xFF'::BLOB, greatest(1, (octet_length(raw) + 575) // 576) * 576 - octet_length(raw)) AS payload FROM sized
+)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_sha256 FROM filled
+"""

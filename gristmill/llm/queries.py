@@ -48,5 +48,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_mixing, op4_licenses, op5_html, op6_pii, op7_ann, op8_packing, op9_neardup, op10_langid)}
-ORACLE_SQL = {"op2_lines": linededup.SQL, "op3_mixing": mixing.SQL, "op9_neardup": neardup.SQL}
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1_media, the columns that SQL can tell."""
+    return op1_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4_licenses, the base columns."""
+    return op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6_pii, the base columns."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_lines, op3_mixing, op4_licenses, op5_html, op6_pii, op7_ann, op8_packing, op9_neardup, op10_langid, media_payloads, license_places, pii_base)}
+ORACLE_SQL = {"op2_lines": linededup.SQL, "op3_mixing": mixing.SQL, "op9_neardup": neardup.SQL, "media_payloads": media.SQL, "license_places": licenses.SQL, "pii_base": pii.SQL}

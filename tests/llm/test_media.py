@@ -3,6 +3,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from gristmill.llm import media
 
@@ -33,7 +34,8 @@ def want(text):
 
 
 def test_rows_and_store(spark, tmp_path):
-    long = "".join(random.Random(3).choice("abcdé fghij\n") for _ in range(150_000))
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdé fghij\n") for _ in range(150_000))
     texts = [None, "", "a", "a", "x" * 576, long, long + "tail", long]
     df = spark.createDataFrame([(k if k else None, t, "m") for k, t in enumerate(texts)], "doc_id long, text string, media string")
     got = media.media_columns(df).collect()
@@ -48,6 +50,25 @@ def test_rows_and_store(spark, tmp_path):
     assert store.count() == store.select("digest").distinct().count()
     assert store.agg({"length": "sum"}).first()[0] < 1.5 * len(long.encode())
     assert {r.doc_id or 0: bytes(r.payload[: r.n_bytes]).decode() for r in media.payloads(refs, store).collect()} == {k: t or "" for k, t in enumerate(texts)}
-    gone = store.where("length < 1000")
-    with pytest.raises(Exception, match="not in the store"):
-        media.read_back(media.distinct_media(refs), gone).collect()
+    for gone in (store.where("length < 600"), store.where("length > 600")):
+        with pytest.raises(Exception, match="not in the store"):
+            media.describe(refs, gone).collect()
+    spoilt = store.withColumn("length", store.length + 1).withColumn("frame", F.substring("frame", 1, 40))
+    with pytest.raises(Exception):
+        media.describe(refs, spoilt).collect()
+
+
+def test_chunks_are_stored_once(spark, tmp_path):
+    """Equal chunks of many rows and of earlier writes, whichever way they take."""
+    rng = random.Random(4)
+    part = ["".join(rng.choice("abcdefgh ") for _ in range(9000)) for _ in range(5)]
+    rows = [(k, "".join(rng.sample(part, 3)) if k % 3 else f"text {k % 4}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = str(tmp_path / "store")
+    for k in range(2):
+        media.write_store(df.where(f"doc_id % 2 = {k}"), path)
+    refs, store = media.read_store(spark, path)
+    want = {hashlib.sha256(c).digest() for _, t in rows for c in media.chunks_of(media.payload_of(t)[0])}
+    assert sorted(bytes(r.digest) for r in store.collect()) == sorted(want) and refs.count() == 60
+    got = {r.doc_id: r.payload_sha256 for r in media.describe(refs, store).collect()}
+    assert got == {k: hashlib.sha256(media.payload_of(t)[0]).hexdigest() for k, t in rows}
