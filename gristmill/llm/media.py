@@ -39,7 +39,7 @@ GEAR = np.random.default_rng(576).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 RECIPES = "doc_id long, n_bytes long, media binary, digests array<binary>"
-CHUNKS = "digest binary, length int, frame binary"
+CHUNKS = "digest binary, length int, frame binary, home binary"
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -110,8 +110,8 @@ def recipes(docs: DataFrame) -> DataFrame:
 
 
 def chunk_rows(docs: DataFrame, marked: np.ndarray | None = None, wanted: bool = True) -> DataFrame:
-    """digest, length, frame of the chunks of every row whose digest's slot is marked (or, if not wanted, isn't); of all without marks. Narrow. A task gives a chunk
-    at most once in a run of SEEN others. marked has ID_SLOTS truth values."""
+    """digest, length, frame, home of the chunks of every row whose digest's slot is marked (or, if not wanted, isn't); of all without marks. Narrow. A task gives a chunk
+    at most once in a run of SEEN others. marked has ID_SLOTS truth values. home: the longer media that alone has the chunk, where that is sure; else null."""
     shared = None if marked is None else docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
     slots = ID_SLOTS
 
@@ -120,21 +120,24 @@ def chunk_rows(docs: DataFrame, marked: np.ndarray | None = None, wanted: bool =
         bits = None if shared is None else np.unpackbits(shared.value).astype(bool)
         seen: dict[bytes, None] = {}
         for (text,) in given:
-            for c in chunks_of(payload_of(text)[0]):
+            data = payload_of(text)[0]
+            pieces = list(chunks_of(data))
+            home = hashlib.sha256(data).digest() if len(pieces) > 1 and not wanted else None
+            for c in pieces:
                 digest = hashlib.sha256(c).digest()
                 if digest in seen or bits is not None and bits[int.from_bytes(digest[:3], "big") % slots] != wanted:
                     continue
                 seen[digest] = None
                 if len(seen) > SEEN:
                     del seen[next(iter(seen))]
-                yield digest, len(c), pack.compress(c)
+                yield digest, len(c), pack.compress(c), home
 
-    return row_map(docs.select("text"), rows, "digest binary, length int, frame binary")
+    return row_map(docs.select("text"), rows, CHUNKS)
 
 
 def distinct_chunks(rows: DataFrame) -> DataFrame:
     """Each chunk once. Equal ones meet within a task before the shuffle, so a hot chunk costs a row a task."""
-    return rows.groupBy("digest").agg(F.first("length").alias("length"), F.first("frame").alias("frame"))
+    return rows.groupBy("digest").agg(F.first("length").alias("length"), F.first("frame").alias("frame"), F.lit(None).cast("binary").alias("home"))
 
 
 def marks(*digests: DataFrame) -> np.ndarray:
@@ -150,53 +153,66 @@ def distinct_media(refs: DataFrame) -> DataFrame:
     return refs.groupBy("media").agg(F.first("n_bytes").alias("n_bytes"), F.first("digests").alias("digests"))
 
 
+def gathered(refs: DataFrame, store: DataFrame) -> DataFrame:
+    """media, digests, parts of each distinct media of refs that has several chunks. Chunks that have a home go there at once; only the others are first looked up by digest."""
+    longer = distinct_media(refs.where(F.size("digests") > 1)).select("media", "digests")
+    place = longer.select("media", F.explode("digests").alias("digest")).distinct()
+    homed = store.where("home is not null")
+    elsewhere = place.join(homed.select(F.col("home").alias("media"), "digest"), ["media", "digest"], "left_anti")
+    columns = ["media", F.struct("digest", "length", "frame").alias("part")]
+    found = elsewhere.join(maybe_in(store.drop("home"), elsewhere, "digest"), "digest").select(*columns).union(homed.withColumnRenamed("home", "media").select(*columns))
+    return longer.join(found.groupBy("media").agg(F.collect_list("part").alias("parts")), "media")
+
+
 def read_back(refs: DataFrame, store: DataFrame) -> DataFrame:
-    """media, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks of each distinct media of refs, from stored chunks alone. Chunks that are only parts
-    of media give rows under their own digests, too, which meet no recipe."""
-    single = store.select(F.col("digest").alias("media"), F.array(F.struct(F.lit(0).alias("pos"), "digest", "length", "frame")).alias("parts"))
-    longer = distinct_media(refs.where(F.size("digests") > 1))
-    place = longer.select("media", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("pos", "digest"))
-    joined = place.join(maybe_in(store, place, "digest"), "digest", "left")
-    parts = joined.groupBy("media").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "length", "frame"))).alias("parts")).select("media", "parts")
-    return row_map(single.union(parts), verified, READ_SCHEMA)
+    """media, payload_bytes, tail_crc32, media_bytes, stored (digest of the stored form), feature, n_chunks of each distinct media of refs, from stored chunks alone, their digests verified. Chunks
+    that are only parts of media give rows under their own digests, too, which meet no recipe."""
+    single = store.select(F.col("digest").alias("media"), F.array("digest").alias("digests"), F.array(F.struct("digest", "length", "frame")).alias("parts"))
+    return row_map(single.union(gathered(refs, store)), verified, READ_SCHEMA)
 
 
-READ_SCHEMA = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
+READ_SCHEMA = "media binary, payload_bytes long, tail_crc32 long, media_bytes long, stored binary, feature string, n_chunks int"
 
 
-def assemble(media: bytes, parts: list[dict]) -> bytes:
-    """The payload, after its chunks and itself are tested against their digests."""
+def assemble(media: bytes, digests: list[bytes], parts: list[dict]) -> tuple[bytes, list[dict]]:
+    """(the payload, its parts in order), after chunks and payload are tested against their digests."""
     unpack = zstandard.ZstdDecompressor()
+    by = {p["digest"]: p for p in parts}
     pieces = []
-    for k, p in enumerate(parts):
-        if p["frame"] is None or p["pos"] != k:
-            raise ValueError(f"chunk {k} of media {media.hex()} is not in the store")
-        piece = unpack.decompress(p["frame"], max_output_size=p["length"])
-        if hashlib.sha256(piece).digest() != p["digest"]:
+    for k, digest in enumerate(digests):
+        if digest not in by:
+            raise ValueError(f"not in the store: chunk {k} of media {media.hex()}")
+        piece = unpack.decompress(by[digest]["frame"], max_output_size=by[digest]["length"])
+        if hashlib.sha256(piece).digest() != digest:
             raise ValueError(f"chunk {k} of media {media.hex()} was damaged")
         pieces.append(piece)
     data = b"".join(pieces)
     if hashlib.sha256(data).digest() != media:
         raise ValueError(f"media {media.hex()} was damaged")
-    return data
+    return data, [by[d] for d in digests]
 
 
 def verified(given: Iterator[tuple]) -> Iterable[tuple]:
-    for media, parts in given:
-        data = assemble(media, parts)
+    for media, digests, found in given:
+        data, parts = assemble(media, digests, found)
         # UTF-8 has no byte 255, so what isn't filling is the text
-        stored = recipe_of(len(data.rstrip(b"\xff")), [p["digest"] for p in parts], [p["length"] for p in parts])
+        stored = recipe_of(len(data.rstrip(b"\xff")), digests, [p["length"] for p in parts])
         whole = hashlib.sha256(stored)
         for p in parts:
             whole.update(p["frame"])
-        yield media, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(stored) + sum(len(p["frame"]) for p in parts), whole.hexdigest(), features(data), len(parts)
+        yield media, len(data), zlib.crc32(data[-32:]), len(stored) + sum(len(p["frame"]) for p in parts), whole.digest(), features(data), len(parts)
 
 
 def describe(refs: DataFrame, store: DataFrame) -> DataFrame:
-    """doc_id and what read_back() gives, for every row of refs. The many rows of a hot media are joined to its one row last, without payloads."""
+    """doc_id and what read_back() gives, for every row of refs. The many rows of a hot media are joined to its one row last, without payloads. The payload's digest is the
+    media's name, which read_back() has verified."""
     found = refs.select("doc_id", "n_bytes", "media").join(read_back(refs, store), "media", "left")
     missing = F.raise_error(F.concat(F.lit("not in the store: media "), F.hex("media")))
-    return found.withColumn("payload_bytes", F.when(F.col("payload_bytes").isNotNull(), F.col("payload_bytes")).otherwise(missing.cast("long"))).drop("media")
+    shown = lambda c: F.lower(F.hex(c))
+    return found.select(
+        "doc_id", "n_bytes", F.when(F.col("payload_bytes").isNotNull(), F.col("payload_bytes")).otherwise(missing.cast("long")).alias("payload_bytes"), shown("media").alias("payload_sha256"), "tail_crc32",
+        "media_bytes", shown("stored").alias("media_sha256"), "feature", "n_chunks",
+    )
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -232,14 +248,13 @@ def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def payloads(refs: DataFrame, store: DataFrame) -> DataFrame:
     """doc_id, n_bytes, payload of every row of refs."""
-    place = distinct_media(refs).select("media", F.posexplode("digests").alias("pos", "digest"))
-    parts = place.join(store, "digest", "left").groupBy("media").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "length", "frame"))).alias("parts"))
+    single = store.select(F.col("digest").alias("media"), F.array("digest").alias("digests"), F.array(F.struct("digest", "length", "frame")).alias("parts"))
 
     def rows(given: Iterator[tuple]) -> Iterable[tuple]:
-        for media, found in given:
-            yield media, assemble(media, found)
+        for media, digests, found in given:
+            yield media, assemble(media, digests, found)[0]
 
-    return refs.select("doc_id", "n_bytes", "media").join(row_map(parts.select("media", "parts"), rows, "media binary, payload binary"), "media").drop("media")
+    return refs.select("doc_id", "n_bytes", "media").join(row_map(single.union(gathered(refs, store)), rows, "media binary, payload binary"), "media").drop("media")
 
 
 #: DuckDB SQL for the payload columns of media_columns(), for a table documents.
