@@ -1,11 +1,12 @@
 """Mixing sources to target weights by capped water-filling.
 
 Sources by code point, null last, get weights in turn. All share `total` words by weight; a source stops at `max_epochs`
-times its own size, and what it leaves is shared again by weight until no source is above its cap. The words each document gives are
-its whole repetitions plus a seeded fraction, rounded up or down at random, so a source's sum lies within a few words times the root of its documents of the target.
+times its own size, and what it leaves is shared again by weight until no source is above its cap. Every document of a source is taken its whole number of epochs. For
+the fraction that is left, documents stand in the order of a seeded draw, and those are taken once more whose words, added up in that order, fit the rest of the target; the one
+at the boundary gives the fraction of its words that still fits. So a source's sum meets its target to the word. Both samplers, of words and of documents, take the same documents.
 
 Nulls: a null text has no words, a null source is a source of its own (the last), a null doc_id draws as the text 'null' would.
-Repeated rows are mixed each on their own but draw alike. An empty table gives an empty result. Other columns of the input never
+Repeated rows draw alike; equal ones (same id, source and size) at the boundary give equal shares, each rounded to a word. An empty table gives an empty result. Other columns of the input never
 meet those made here, as only doc_id, source and text are read.
 """
 
@@ -21,6 +22,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
+#: Ranges of draws; the words of each are summed, and only the range that holds the boundary is put in order.
+RANGES = 1 << 14
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -62,21 +65,52 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
 
 
+def place(rows: DataFrame, seed: str) -> Column:
+    """Where a row stands in its source."""
+    return F.struct(draw(F.col("doc_id"), seed).alias("draw"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), F.col("size").alias("size"))
+
+
+def thresholds(rows: DataFrame, sources: DataFrame, seed: str) -> DataFrame:
+    """of, source_size, target, epochs, bound, bound_words of each source: rows before bound are taken once more, rows at it give so many words, later ones none. Sums of ranges are ordered by
+    source, rows only within one range."""
+    rest = sources.select(F.col("source").alias("of"), "source_size", "target", "epochs", ((F.col("epochs") - F.floor("epochs")) * F.col("source_size")).alias("room"))
+    placed = rows.select("source", "size", place(rows, seed).alias("place"))
+    ranged = placed.withColumn("range", F.floor(F.col("place.draw") * F.lit(RANGES)))
+    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(sums.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))), ids=True)
+    boundary = starts.join(small(rest), F.col("source").eqNullSafe(F.col("of"))).where((F.col("start") <= F.col("room")) & (F.col("room") < F.col("start") + F.col("words")))
+    inside = ranged.join(small(cut(boundary.select("of", F.col("range").alias("at"), "start", "room"), ids=True)), F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
+    groups = inside.groupBy("of", "room", "start", "place").agg(F.count(F.lit(1)).alias("copies"))
+    words = F.col("copies") * F.col("place.size")
+    so_far = Window.partitionBy("of").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    left = groups.withColumn("left", F.col("room") - F.col("start") - F.coalesce(F.sum(words).over(so_far), F.lit(0))).where((F.col("left") >= 0) & (F.col("left") < words))
+    found = left.select(F.col("of").alias("at"), F.col("place").alias("bound"), F.floor(F.col("left") / F.col("copies") + 0.5).alias("bound_words"))
+    return cut(rest.drop("room").join(found, F.col("of").eqNullSafe(F.col("at")), "left").drop("at"), ids=True)
+
+
+def mixed(docs: DataFrame, rows: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: str) -> DataFrame:
+    """docs (doc_id, source, size, and more) beside of, source_size, target, whole and more (words beyond whole epochs). rows: doc_id, source, size of the same documents."""
+    bounds = thresholds(rows, plan(rows, weights, share, max_epochs), seed)
+    joined = docs.join(small(bounds), F.col("source").eqNullSafe(F.col("of")))
+    here = place(docs, seed)
+    more = F.when(here < F.col("bound"), F.col("size")).when(here == F.col("bound"), F.col("bound_words")).otherwise(F.lit(0))
+    return joined.withColumn("whole", F.floor("epochs")).withColumn("more", more)
+
+
 def mix_words(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs (doc_id, source, text); taken counts words with repetitions."""
     rows = cut(sized(docs))
-    sources = plan(rows, weights, share, max_epochs).withColumnRenamed("source", "of")
-    whole = F.floor("epochs")
-    taken = whole * F.col("size") + F.floor((F.col("epochs") - whole) * F.col("size") + draw(F.col("doc_id"), seed))
-    return rows.join(small(sources), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    taken = F.col("whole") * F.col("size") + F.col("more")
+    return mixed(rows, rows, weights, share, max_epochs, seed).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs with each row as often as the mix takes it: its source's whole epochs, and once more where its draw is below the rest. The columns stay."""
-    sources = plan(sized(docs).select("source", "size"), weights, share, max_epochs).select(F.col("source").alias("__of"), F.col("epochs").alias("__epochs"))
-    times = F.floor("__epochs") + (draw(F.col("doc_id"), seed) < F.col("__epochs") - F.floor("__epochs")).cast("long")
-    joined = docs.join(small(sources), F.col("source").eqNullSafe(F.col("__of"))).withColumn("__times", times.cast("int")).where("__times > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with each row as often as the mix takes it: its source's whole epochs, and once more before the boundary, or at it if half its words or more fit. The columns stay."""
+    held = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = mixed(held, cut(sized(docs)), weights, share, max_epochs, seed)
+    times = F.col("whole") + F.when((F.col("more") > 0) & (F.col("more") * 2 >= F.col("size")), 1).otherwise(0)
+    return found.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 #: DuckDB SQL for mix_words with the defaults, for a table documents. Sources by ratio of cap to weight are clamped in turn, so the level is found by running sums.
@@ -96,8 +130,14 @@ WITH sized AS (
   SELECT coalesce(max((1.5::DOUBLE * total - cap_before) / weight_from) FILTER (WHERE (1.5::DOUBLE * total - cap_before) / weight_from < cap / weight), 0) AS level FROM running
 ), targets AS (
   SELECT source, source_size, least(cap, level * weight) AS target, CASE WHEN source_size > 0 THEN least(cap, level * weight) / source_size ELSE 0 END AS epochs FROM weighed, level
+), drawn AS (
+  SELECT source, size, coalesce(CAST(doc_id AS VARCHAR), 'null') AS id, doc_id, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0 AS draw FROM sized
+), groups AS (
+  SELECT source, size, id, draw, count(*) AS copies FROM drawn GROUP BY ALL
+), summed AS (
+  SELECT *, coalesce(sum(copies * size) OVER (PARTITION BY source ORDER BY draw, id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM groups
 )
 SELECT d.doc_id, d.size, t.source_size, t.target,
-  CAST(floor(t.epochs) * d.size + floor((t.epochs - floor(t.epochs)) * d.size + CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0) AS BIGINT) AS taken
-FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+  CAST(floor(t.epochs) * d.size + greatest(0, least(d.size, floor(((t.epochs - floor(t.epochs)) * t.source_size - s.before) / s.copies + 0.5))) AS BIGINT) AS taken
+FROM drawn d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source JOIN summed s ON d.source IS NOT DISTINCT FROM s.source AND d.size = s.size AND d.id = s.id
 """

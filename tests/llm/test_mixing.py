@@ -38,7 +38,9 @@ def test_equals_the_rule(spark):
             s = of[r.doc_id]
             assert r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 * max(1, want[s])
             taken[s] = taken.get(s, 0) + r.taken
-    assert all(abs(taken[s] - want[s]) <= 0.05 * want[s] + 40 for s in taken)
+    assert all(abs(taken[s] - want[s]) <= 40 for s in taken)  # the rows of id 7 and None are left out here
+    parts = [r for r in got if r.doc_id in of and r.size and r.taken % r.size]
+    assert len(parts) <= len(names)  # whole repetitions but for one document a source
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_words(df.repartition(3)).collect()), key=str)
     assert mixing.mix_words(df.limit(0)).count() == 0
 
@@ -47,8 +49,26 @@ def test_documents(spark):
     rows = [(k, "w " * 20, ("big", "small", "tiny")[0 if k < 700 else 1 if k < 950 else 2], "x") for k in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, epochs string")
     mixed = mixing.mix_documents(df)
+    words = {r.doc_id: r.taken for r in mixing.mix_words(df).collect()}
+    times = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert all(abs(20 * times.get(d, 0) - t) <= 10 for d, t in words.items())
     assert mixed.columns == df.columns
     want = targets({"big": 14000, "small": 5000, "tiny": 1000})
     for r in mixed.groupBy("source").count().collect():
-        assert abs(20 * r["count"] - want[r.source]) <= 0.1 * want[r.source]
+        assert abs(20 * r["count"] - want[r.source]) <= 20
     assert mixed.groupBy("doc_id").count().where("count > 2").count() == 0 and mixing.mix_documents(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_long_texts(spark):
+    """Equal rows, rows without id and one long text: each source still meets its target, and nothing is taken more than twice."""
+    rows = [(None, "w " * 7, "a")] * 300 + [(5, "w " * 3, "b")] * 200 + [(6, "w " * 40_000, "c")] + [(k, None, "d") for k in range(5)] + [(k, "w " * (k % 9), "a") for k in range(100)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, place string")
+    got = mixing.mix_words(df).collect()
+    sizes, taken = {"a": 300 * 7 + sum(k % 9 for k in range(100)), "b": 600, "c": 40_000, "d": 0}, {}
+    of = {v: k for k, v in sizes.items()}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[of[r.source_size]] = taken.get(of[r.source_size], 0) + r.taken
+    want = targets(sizes)
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 150 for s in sizes)
+    assert mixing.mix_documents(df).columns == df.columns
