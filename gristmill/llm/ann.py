@@ -2,32 +2,33 @@
 
 Equal vectors are one class, with the smallest ids that a result can need; the graphs hold classes, so any number of copies of a vector costs one node.
 Classes are dealt to shards of about SHARD by a hash. A shard's index is one row: ids, vectors, levels, and for every layer an int array
-of fixed width per node, filled up with -1. Queries go to every shard in blocks; a shard gives its best classes with their exact cosines, and
-the merge keeps the nearest ones.
+of fixed width per node, filled up with -1. Queries go to every shard, where they pass by its graph in Arrow batches: an index is moved once, and a task holds one
+index and one batch of queries. A shard gives its best classes with their exact cosines, and the merge keeps the nearest ones.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, neither as queries nor as candidates. A null id takes no part. Vectors of
-other lengths than the query's are a fault and raise. Repeated rows with one id are one candidate. Ties go to the smaller id. An empty table
-gives an empty result. Scores are computed in double precision from the original components.
+other lengths than a query's have no cosine with it: each length has shards of its own, and a query's candidates are those of its length. Repeated rows with one id are one candidate;
+of queries with one id and several vectors one is asked. Ties go to the smaller id. An empty table gives an empty result. Scores are computed in double precision from the original components.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut
+from .common import cut, small
 
-SHARD = 8192
+SHARD = 4096
 M = 16
 EF_BUILD = 64
 EF_SEARCH = 96
-BLOCK = 2048
 EVERY = 50
 TOP = 5
 
@@ -162,11 +163,18 @@ def classes(rows: DataFrame, top: int = TOP) -> DataFrame:
     return least.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("node"), "ids", "embedding")
 
 
-INDEX = "shard int, nodes binary, ids binary, n_ids binary, vectors binary, width int, level binary, near array<binary>, entry int"
+INDEX = "width int, shard int, ids binary, n_ids binary, vectors binary, level binary, near array<binary>, entry int"
 
 
-def build_index(nodes: DataFrame, shards: int, m: int = M, ef: int = EF_BUILD) -> DataFrame:
-    """One row a shard. shards bounds what a task holds: about SHARD vectors."""
+def dealt(nodes: DataFrame, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(nodes with width and shard, numbered within a width; width and its number of shards). shard: about so many vectors are what a task holds."""
+    sized = nodes.withColumn("width", F.size("embedding"))
+    shards = cut(sized.groupBy("width").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).cast("int").alias("shards")), ids=True)
+    return sized.join(small(shards), "width").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).drop("shards"), shards
+
+
+def build_index(nodes: DataFrame, n: int, m: int = M, ef: int = EF_BUILD) -> DataFrame:
+    """One row a shard of nodes (node, ids, embedding, width, shard); n: their number."""
     unit, graph_of = unit_rows, Hnsw.built
 
     def build(given: pd.DataFrame) -> pd.DataFrame:
@@ -175,13 +183,12 @@ def build_index(nodes: DataFrame, shards: int, m: int = M, ef: int = EF_BUILD) -
         graph = graph_of(unit(v), m=m, ef=ef)
         ids = given["ids"].tolist()
         return pd.DataFrame([{
-            "shard": given["shard"].iloc[0], "nodes": given["node"].to_numpy(np.int64).tobytes(), "ids": np.concatenate(ids).astype(np.int64).tobytes(), "n_ids": np.array([len(x) for x in ids], np.int32).tobytes(),
-            "vectors": v.tobytes(), "width": v.shape[1], "level": graph.level.tobytes(), "near": [x.tobytes() for x in graph.near], "entry": graph.entry,
+            "width": v.shape[1], "shard": given["shard"].iloc[0], "ids": np.concatenate(ids).astype(np.int64).tobytes(), "n_ids": np.array([len(x) for x in ids], np.int32).tobytes(),
+            "vectors": v.tobytes(), "level": graph.level.tobytes(), "near": [x.tobytes() for x in graph.near], "entry": graph.entry,
         }])
 
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     # by ranges and by number: hashing the few numbers, or joining small partitions, would give a task several graphs to build
-    return dealt.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(build, INDEX)
+    return nodes.repartitionByRange(n, "width", "shard").groupBy("width", "shard").applyInPandas(build, INDEX)
 
 
 def scaled_rows(v: np.ndarray) -> np.ndarray:
@@ -194,45 +201,60 @@ def unit_rows(v: np.ndarray) -> np.ndarray:
     return (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(np.float32)
 
 
-def search_index(index: DataFrame, queries: DataFrame, shards: int, top: int = TOP, ef: int = EF_SEARCH, m: int = M) -> DataFrame:
-    """query_id, vec_id, score: each shard's best candidates for each query (vec_id, embedding)."""
-    kind, unit, scaled = Hnsw, unit_rows, scaled_rows
-
-    def load(row: pd.Series) -> tuple:
-        v = scaled(np.frombuffer(row["vectors"], np.float64).reshape(-1, row["width"]))
-        graph = kind(unit(v), m=m)
-        graph.level = np.frombuffer(row["level"], np.int32)
-        graph.near = [np.frombuffer(x, np.int32).reshape(len(v), -1) for x in row["near"]]
-        graph.entry = row["entry"]
-        n = np.frombuffer(row["n_ids"], np.int32)
-        return v, graph, np.frombuffer(row["ids"], np.int64), np.concatenate(([0], np.cumsum(n)))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            v, graph, ids, starts = load(left.iloc[0])
-            norms = np.sqrt((v * v).sum(1))
-            asked = scaled(np.array(right["embedding"].tolist(), np.float64))
-            for query, q, u in zip(right["vec_id"].tolist(), asked, unit(asked), strict=True):
-                found = graph.nearest(u, ef)
-                scores = (v[found] @ q) / (norms[found] * math.sqrt(q @ q))
-                best = [(-s, x) for s, k in zip(scores.tolist(), found, strict=True) for x in ids[starts[k] : starts[k + 1]].tolist() if x != query]
-                out += [(query, x, -s) for s, x in heapq.nsmallest(top, best)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))
-    n = max(1, math.ceil(queries.count() / BLOCK))
-    asked = queries.withColumn("block", (block % n).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+class Shard:
+    """An index row, ready to be asked."""
+
+    def __init__(self, row: dict, graph: type[Hnsw], unit, scaled, m: int):
+        self.scaled, self.unit = scaled, unit
+        self.v = scaled(np.frombuffer(row["vectors"], np.float64).reshape(-1, row["width"]))
+        self.graph = graph(unit(self.v), m=m)
+        self.graph.level = np.frombuffer(row["level"], np.int32)
+        self.graph.near = [np.frombuffer(x, np.int32).reshape(len(self.v), -1) for x in row["near"]]
+        self.graph.entry = row["entry"]
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(np.frombuffer(row["n_ids"], np.int32))))
+        self.norms = np.sqrt((self.v * self.v).sum(1))
+
+    def best(self, query: int, vector: list[float], top: int, ef: int) -> list[tuple[int, int, float]]:
+        """(query, id, cosine) of the top nearest classes' ids."""
+        asked = self.scaled(np.array([vector], np.float64))
+        q = asked[0]
+        found = self.graph.nearest(self.unit(asked)[0], ef)
+        scores = (self.v[found] @ q) / (self.norms[found] * math.sqrt(q @ q))
+        every = [(-s, x) for s, k in zip(scores.tolist(), found, strict=True) for x in self.ids[self.starts[k] : self.starts[k + 1]].tolist() if x != query]
+        return [(query, x, -s) for s, x in heapq.nsmallest(top, every)]
+
+
+def search_index(index: DataFrame, queries: DataFrame, shards: DataFrame, n: int, top: int = TOP, ef: int = EF_SEARCH, m: int = M) -> DataFrame:
+    """query_id, vec_id, score: each shard's best candidates for each query (vec_id, embedding). shards: width and its number of shards, n in all.
+
+    Index and queries meet in one partition, sorted: an index row, then all queries of its shard."""
+    kind, of, unit, scaled = Hnsw, Shard, unit_rows, scaled_rows
+    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            found: list[tuple[int, int, float]] = []
+            for row in batch.to_pylist():
+                if row["vec_id"] is None:
+                    shard = of(row, kind, unit, scaled, m)
+                else:
+                    found += shard.best(row["vec_id"], row["embedding"], top, ef)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), out, strict=True)], schema=out)
+
+    asked = queries.withColumn("width", F.size("embedding")).join(small(shards), "width").select("width", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "vec_id", "embedding")
+    both = index.unionByName(asked, allowMissingColumns=True).repartitionByRange(n, "width", "shard").sortWithinPartitions("width", "shard", F.asc_nulls_first("vec_id"))
+    return both.mapInArrow(search, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, shard: int = SHARD, ef: int = EF_SEARCH) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, the top nearest of all others found."""
     rows = usable(vectors)
-    nodes = cut(classes(rows, top))
-    shards = max(1, math.ceil(nodes.count() / shard))
+    nodes, shards = dealt(cut(classes(rows, top)), shard)
+    n = max(1, int(shards.agg(F.sum("shards")).first()[0] or 0))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
-    found = search_index(build_index(nodes, shards), queries, shards, top, ef)
+    found = search_index(cut(build_index(nodes, n)), queries, shards, n, top, ef)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

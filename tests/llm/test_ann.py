@@ -47,3 +47,22 @@ def test_odd_rows(spark):
     assert got[0] == [(k, k) for k in range(1, 6)] and [x for _, x in got[100]] == [400, 450, 0, 1, 2]
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.where("vec_id = 100")).count() == 0
     assert ann.nearest(df.where("vec_id in (3, 100)")).count() == 1
+
+
+def test_lengths_are_apart_and_batches_small(spark):
+    """Vectors of other lengths are no candidates; queries pass by a graph in many Arrow batches."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=(3, 5, 8)[k % 3]).tolist()) for k in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {}
+    for w in (3, 5, 8):
+        want |= brute([r for r in rows if len(r[1]) == w], 10, 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {}
+        for r in sorted(ann.nearest(df, every=10, shard=100).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(want) and sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.98 * 5 * len(want)
+    assert all(len(rows[x][1]) == len(rows[q][1]) for q, found in got.items() for x in found)
