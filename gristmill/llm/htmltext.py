@@ -1,14 +1,15 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
-A page is cut into blocks: runs of text between block-level tags, each with the tags and class words of its open ancestors. The field
-scores each block from those and from its text, and neighbouring blocks together; Viterbi decoding marks each as article or not. It is
+A page is cut into blocks: runs of text between block-level tags, each with the tags and class words of all its open ancestors. The field
+scores each block from those, above all from the nearest ones, and from its text, and neighbouring blocks together; Viterbi decoding marks each as article or not. It is
 trained by maximum likelihood (forward-backward, with a quadratic penalty) on the labelled pages that labelled_pages() composes: articles
 amid menus, headers, footers, sidebars, notices, adverts, forms and reader comments, in many wordings and nestings.
 
 Scripts, styles and comments in the markup are no text, and they end no block; nothing else is dropped before the field judges it: formulas, drawings, and what
 noscript, template, object and iframe hold are text of the block around them, unless block-level tags within cut it. Character references are decoded, white space within a block becomes one
 space, and the article's blocks are joined in page order by a blank line. Nulls: a null html is empty and gives the empty text; null ids and urls stay
-null. Repeated rows each give their row. Pages are read whole, in time linear in their length, whether well formed or not.
+null. Repeated rows each give their row. Pages are read whole, in time linear in their length, whether well formed or not: an open element carries what all its ancestors
+say, and where the last open element of a name stands is known without a walk.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ BREAKS = frozenset(
     "html head body main article section nav aside header footer h1 h2 h3 h4 h5 h6 p div blockquote pre ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend label button select option textarea input "
     "figure figcaption address details summary hr center hgroup dialog menu search".split()
 )
+RAW_END = {name: re.compile(f"</{name}", re.I) for name in RAW}
 SPACED = frozenset("text title desc mtr mtd annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -48,15 +50,82 @@ CUES = frozenset(
 )
 
 
-#: Cues and tags that an article's own blocks seldom have above them.
-FOREIGN = CUES - frozenset("article post entry content story main body text prose more".split())
+#: Cues of an article's own containers; all others and FOREIGN_TAGS are seldom above its blocks.
+OWN = frozenset("article post entry content story main body text prose".split())
+FOREIGN = CUES - OWN - {"more"}
 FOREIGN_TAGS = frozenset("nav footer aside form header head select button label".split())
+#: In a class name, these say that a page has a part (or where), not that the element is that part: the first ones always, the others beside a class of OWN cues.
+SAYS_HAS, SAYS_WHERE = frozenset("with has no without open closed enabled".split()), frozenset("left right both single".split())
+PLAIN = frozenset("html body div span".split())
+
+
+def cues(attributes: str) -> tuple[str, ...]:
+    """The cue words of an element's class, id, role and label."""
+    names = [(PIECES.findall(token), token) for x in NAMES.findall(attributes) for token in x.lower().strip("\"'").split()]
+    own = any(not OWN.isdisjoint(p) and FOREIGN.isdisjoint(p) for p, _ in names)
+    found: list[str] = []
+    for pieces, _ in names:
+        if SAYS_HAS.isdisjoint(pieces) and not (own and not SAYS_WHERE.isdisjoint(pieces)):
+            found += [w for w in pieces if w in CUES]
+    return tuple(found)
+
+
+class Open:
+    """An open element: its name, the features that its blocks inherit from it and all elements above, the cues of the nearest that has any, and whether OWN or FOREIGN ones are above."""
+
+    __slots__ = ("foreign", "inherited", "inside", "name", "near")
+
+    def __init__(self, name: str, words: tuple[str, ...], above: Open | None):
+        inherited = above.inherited if above else frozenset()
+        new = {f"cue={w}" for w in words} | (set() if name in PLAIN else {f"in={name}"})
+        self.name, self.inherited = name, inherited if new <= inherited else inherited | new
+        self.near = words or (above.near if above else ())
+        self.inside = bool(above and above.inside) or name in ("article", "main") or not OWN.isdisjoint(words)
+        self.foreign = bool(above and above.foreign) or name in FOREIGN_TAGS or not FOREIGN.isdisjoint(words)
+
+
+class Stack:
+    """Open elements, with the places of each name's."""
+
+    def __init__(self) -> None:
+        self.items: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def top(self) -> Open | None:
+        return self.items[-1] if self.items else None
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        self.places.setdefault(name, []).append(len(self.items))
+        if name in SCOPES:
+            self.scopes.append(len(self.items))
+        self.items.append(Open(name, words, self.top()))
+
+    def last(self, name: str) -> int:
+        found = self.places.get(name)
+        return found[-1] if found else -1
+
+    def cut(self, k: int) -> None:
+        """Closes the element at k and all within it."""
+        while len(self.items) > k >= 0:
+            name = self.items.pop().name
+            self.places[name].pop()
+            if name in SCOPES:
+                self.scopes.pop()
+
+    def make_way(self, name: str) -> None:
+        """Closes what the start of an element ends: a paragraph, and its like up to the nearest scope."""
+        if self.items and self.items[-1].name == "p":
+            self.cut(len(self.items) - 1)
+        k = max((self.last(x) for x in CLOSES.get(name, ())), default=-1)
+        if k > (self.scopes[-1] if self.scopes else -1):
+            self.cut(k)
 
 
 def blocks(page: str) -> list[tuple[str, list[str]]]:
     """(text, features) of each leaf block that has text, in page order."""
     out: list[tuple[str, list[str]]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Stack()
     parts: list[str] = []
     linked = 0
 
@@ -65,13 +134,10 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, features(text, stack, linked)))
+                out.append((text, features(text, stack.top(), linked)))
             parts.clear()
         linked = 0
 
-    def pop_to(k: int) -> None:
-        del stack[k:]
-
     at, last = 0, page.rfind(">")
     in_link = drawn = 0
     while at < len(page):
@@ -103,7 +169,7 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
             continue
         if name in RAW:
             if not closing and not m[3].endswith("/>"):
-                close = re.compile(f"</{name}", re.I).search(page, at)
+                close = RAW_END[name].search(page, at)
                 at = len(page) if not close else page.find(">", close.start()) + 1 or len(page)
             continue
         if name in INLINE:
@@ -119,46 +185,31 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         end()
         in_link = drawn = 0
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
+            stack.cut(stack.last(name))
             continue
         if name in VOID or m[3].endswith("/>"):
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CLOSES.get(name, ()):
-                pop_to(k)
-                break
-            if stack[k][0] in SCOPES:
-                break
-        words = tuple(w for x in NAMES.findall(m[3]) for w in PIECES.findall(x.lower()) if w in CUES) if len(m[3]) > 5 else ()
-        stack.append((name, words))
+        stack.make_way(name)
+        # what a page's root elements are called tells of the whole page, not of a part
+        stack.push(name, cues(m[3]) if len(m[3]) > 5 and name not in ("html", "body") else ())
     end()
     return out
 
 
-def features(text: str, stack: list[tuple[str, tuple[str, ...]]], linked: int) -> list[str]:
-    own = stack[-1][0] if stack else "none"
-    found = {"bias", f"own={own}"}
-    inside = foreign = False
-    for name, words in stack[-40:]:
-        if name not in ("html", "body", "div", "span"):
-            found.add(f"in={name}")
-        found.update(f"cue={w}" for w in words)
-        inside |= name in ("article", "main") or not FOREIGN.issuperset(words)
-        foreign |= name in FOREIGN_TAGS or not FOREIGN.isdisjoint(words)
+def features(text: str, element: Open | None, linked: int) -> list[str]:
+    found = {"bias", f"own={element.name if element else 'none'}"}
+    if element:
+        found |= element.inherited
+        found.update(f"near={w}" for w in element.near)
+    inside, foreign = bool(element and element.inside), bool(element and element.foreign)
     found.add(f"place={inside:d}{foreign:d}")
-    n = text.count(" ") + 1
-    found.add(f"words={min(7, n.bit_length())}")
-    share = min(4, 4 * linked // max(1, len(text)))
-    found.add(f"links={share}")
+    if element and element.near:
+        found.add(f"nearest={not OWN.isdisjoint(element.near):d}{not FOREIGN.isdisjoint(element.near):d}")
+    found.add(f"words={min(7, (text.count(' ') + 1).bit_length())}")
+    found.add(f"links={min(4, 4 * linked // max(1, len(text)))}")
     if text[-1] in ".!?:;…":
         found.add("ends")
-    low = text[:200].lower()
-    if "©" in low or "copyright" in low:
+    if "©" in text or "copyright" in text.lower():
         found.add("rights")
     return sorted(found)
 
@@ -210,7 +261,8 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
     def comments() -> None:
         out.append(f"<h3>{text(0, 1, 3)}</h3>")
         for _ in range(rng.randint(1, 4)):
-            out.append(f'<{(k := rng.choice(("div", "li", "article")))} class="comment"><p>{text(0, 3, 50, ".")}</p></{k}>')
+            k = rng.choice(("div", "li", "article", ""))
+            out.append(f'<{k} class="{rng.choice(("comment", "comment", "reply", "comment-body"))}"><p>{text(0, 3, 50, ".")}</p></{k}>' if k else f"<p>{text(0, 3, 50, '.')}</p>")
 
     def form() -> None:
         out.append(f'<form><label>{text(0, 1, 4)}</label><input name="q"><button>{text(0, 1, 2)}</button></form>')
@@ -240,6 +292,10 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
                 form()
 
     out.append("<!DOCTYPE html><html><head><title>x</title></head><body>".replace("<title>x</title>", f"<title>{text(0, 2, 12)}</title>") if rng.random() < 0.8 else "<html><body>")
+    if rng.random() < 0.35:  # root elements and wrappers whose names tell of parts of the page
+        out[-1] = out[-1].replace("<body>", f'<body class="{rng.choice(("sidebar single", "home blog has-sidebar", "right-sidebar", "comments-open", "with-banner"))}">')
+    around = f'<div class="{rng.choice(("layout sidebar-right", "page has-sidebar", "wrap with-banner", "site sidebar", "container comments-open", "content with-sidebar"))}">' if rng.random() < 0.25 else ""
+    out.append(around)
     before = [
         lambda: part(("nav", "div"), ("nav", "menu", "navbar", "breadcrumbs", "navigation"), lambda: links(rng.randint(2, 8))),
         lambda: part(("header", "div"), ("header", "masthead", "topbar"), lambda: (out.append(f"<h1>{text(0, 1, 4)}</h1>"), rng.random() < 0.5 and links(3))),
@@ -251,14 +307,15 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
     after = [before[3], before[4], lambda: part(("section", "div"), ("comments", "discussion", "replies", "respond"), comments), form]
     for f in rng.sample(before, rng.randint(1, len(before))):
         f()
-    outer = rng.choice((("", ""), ("<main>", "</main>"), ('<div class="wrap">', "</div>"), ('<div id="page"><div>', "</div></div>")))
+    outer = rng.choice((("", ""), ("<main>", "</main>"), ('<div class="wrap">', "</div>"), ('<div id="page"><div>', "</div></div>"), ('<div class="main with-sidebar">', "</div>"), ('<div class="columns sidebar-left">', "</div>")))
     out.append(outer[0])
-    part(("article", "article", "main", "div", "section"), ("content", "post", "entry", "article", "story body", "prose text"), article)
+    part(("article", "article", "main", "div", "section"), ("content", "post", "entry", "article", "story body", "prose text", "entry-content", "post-body", "content with-sidebar"), article)
     out.append(outer[1])
     for f in rng.sample(after, rng.randint(0, len(after))):
         f()
     if rng.random() < 0.85:
         part(("footer", "div"), ("footer", "bottom", "legal copyright"), lambda: out.append(f"&copy; {text(0, 2, 20, '.')}") or rng.random() < 0.3 and links(3))
+    out.append("</div>" if around else "")
     out.append("</body></html>" if rng.random() < 0.8 else "")
     return "".join(out), truth
 
