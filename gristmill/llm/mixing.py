@@ -22,8 +22,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
-#: Ranges of draws; the words of each are summed, and only the range that holds the boundary is put in order.
-RANGES = 1 << 14
+#: Ranges that a stretch of draws is split into, and how often: words are summed by range, and only the range that holds the boundary is split on. The rows of the last are put in order.
+RANGES, SPLITS = 128, 2
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -71,17 +71,22 @@ def place(rows: DataFrame, seed: str) -> Column:
 
 
 def thresholds(rows: DataFrame, sources: DataFrame, seed: str) -> DataFrame:
-    """of, source_size, target, epochs, bound, bound_words of each source: rows before bound are taken once more, rows at it give so many words, later ones none. Sums of ranges are ordered by
-    source, rows only within one range."""
+    """of, source_size, target, epochs, bound, bound_words of each source: rows before bound are taken once more, rows at it give so many words, later ones none. No more than RANGES sums
+    of a source, and the rows of its last range, are put in order."""
     rest = sources.select(F.col("source").alias("of"), "source_size", "target", "epochs", ((F.col("epochs") - F.floor("epochs")) * F.col("source_size")).alias("room"))
     placed = rows.select("source", "size", place(rows, seed).alias("place"))
-    ranged = placed.withColumn("range", F.floor(F.col("place.draw") * F.lit(RANGES)))
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(sums.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))), ids=True)
-    boundary = starts.join(small(rest), F.col("source").eqNullSafe(F.col("of"))).where((F.col("start") <= F.col("room")) & (F.col("room") < F.col("start") + F.col("words")))
-    inside = ranged.join(small(cut(boundary.select("of", F.col("range").alias("at"), "start", "room"), ids=True)), F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
-    groups = inside.groupBy("of", "room", "start", "place").agg(F.count(F.lit(1)).alias("copies"))
+    inside = rest.select("of", "room", F.lit(0).cast("long").alias("range"), F.lit(0).cast("long").alias("start"))
+    number = lambda k: F.floor(F.col("place.draw") * F.lit(float(RANGES**k)))
+
+    def within(k: int) -> DataFrame:
+        return placed.join(small(inside), F.col("source").eqNullSafe(F.col("of")) & (number(k) == F.col("range")))
+
+    for k in range(1, SPLITS + 1):
+        sums = within(k - 1).groupBy("of", "room", "start", number(k).alias("range")).agg(F.sum("size").alias("words"))
+        before = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.withColumn("start", F.col("start") + F.coalesce(F.sum("words").over(before), F.lit(0)))
+        inside = cut(starts.where((F.col("start") <= F.col("room")) & (F.col("room") < F.col("start") + F.col("words"))).select("of", "room", "range", "start"), ids=True)
+    groups = within(SPLITS).groupBy("of", "room", "start", "place").agg(F.count(F.lit(1)).alias("copies"))
     words = F.col("copies") * F.col("place.size")
     so_far = Window.partitionBy("of").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     left = groups.withColumn("left", F.col("room") - F.col("start") - F.coalesce(F.sum(words).over(so_far), F.lit(0))).where((F.col("left") >= 0) & (F.col("left") < words))
