@@ -54,6 +54,8 @@ def test_held_out_accuracy_and_rejection(spark):
     model = langid.train(docs)
     for junk in ("qzx wvk jjq xx vvw " * 30, "日本語のテキストです。" * 20, "", None, "123 !!"):
         assert model.classify(junk)[3]
+    for foreign in ("Nel mezzo del cammin di nostra vita mi ritrovai per una selva", "Het regende de hele dag en niemand ging naar buiten vandaag hoor", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności"):
+        assert model.classify(foreign)[3] and model.classify(foreign * 5)[3], foreign
     text = docs.first().text
     assert model.classify(text * 200)[0] == model.classify(text)[0]
 
@@ -82,6 +84,22 @@ def test_every_label_is_learned(spark):
     assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got if r.lang in learned)
 
 
+def test_calibration():
+    """Limits from quantiles, a pooled one for a language without texts, and a power that tempers shares which are too sure."""
+    model = langid.Model(["a", "b", "c"], [], [], np.zeros(3), np.zeros(3), np.full(3, math.inf))
+    rng = np.random.default_rng(1)
+    n = np.full(4000, 100)
+    lang = np.arange(4000) % 2
+    total = -200.0 + rng.normal(size=(4000, 3))
+    total[np.arange(4000), lang] += 40 * (rng.random(4000) < 0.9)  # one of ten is as likely wrong
+    total[0] = -10_000  # one odd text does not loosen the limit
+    langid.calibrate(model, lang, total, n)
+    assert (model.slack < 2).all() and model.slack[2] > 0 and model.mean[2] == pytest.approx(model.mean[:2].mean(), rel=0.05) and model.power < 1
+    blank = langid.Model(["a"], [], [], np.zeros(1), np.zeros(1), np.full(1, math.inf))
+    langid.calibrate(blank, np.zeros(0, int), np.zeros((0, 1)), np.zeros(0))
+    assert blank.slack[0] == math.inf
+
+
 def test_table_find():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64))
     table = langid.Table.of(keys, keys)
