@@ -1,6 +1,7 @@
 """From raw documents to packed batches: STAGES, each on all that the one before kept.
 
-Each stage takes (spark, docs, sf_dir) and returns the columns of documents, but the last, which returns each document's place in a batch.
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, but the last, which returns each document's place in a batch. run() writes what a stage returns
+as Parquet in a folder that the cluster shares and rereads it for the next one, so each stage's work is done once; that folder goes when the application ends.
 Nulls, empty texts, repeated rows and empty tables are treated as the operators' own descriptions say; null or letterless texts go in the
 first stage. After the mix, a document taken more than once has more than one row.
 """
@@ -12,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import langid, linededup, mixing, neardup, packing
+from gristmill.llm.common import own_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,6 +55,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = own_folder(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.schema(docs.schema).parquet(f"{folder}/{k}")
     return docs
