@@ -21,11 +21,13 @@ def aggregate(column: str, function: Function, order_by: Sequence[str] = (), ove
     """function over column, for a group or over a window. first and last need order_by. A callable gets a pandas Series and gives a value of the
     type `kind` (or of its attribute `returns`, if it has one)."""
     c = name(column)
-    value = _pandas(c, function, kind) if callable(function) else _built_in(c, function, order_by, over is not None)
+    if function == "nunique" and over is not None:
+        # nulls last in both orders: a value's two ranks count the values before and after it, a null's rank all of them and itself. No group is held in memory
+        up, down = (F.dense_rank().over(over.orderBy(o)).cast("long") for o in (c.asc_nulls_last(), c.desc_nulls_last()))
+        return F.when(c.isNull(), up - 1).otherwise(up + down - 1)
+    value = _pandas(c, function, kind) if callable(function) else _built_in(c, function, order_by)
     if over is not None:
         value = value.over(over)
-    if function == "nunique":
-        value = F.size(value).cast("long") if over is not None else value
     return F.coalesce(value, F.lit(EMPTY[function])) if isinstance(function, str) and function in EMPTY else value
 
 
@@ -39,7 +41,7 @@ def _pandas(c: Column, function: Callable, kind: str) -> Column:
     return F.pandas_udf(own, getattr(function, "returns", kind))(c)
 
 
-def _built_in(c: Column, function: str, order_by: Sequence[str], windowed: bool) -> Column:
+def _built_in(c: Column, function: str, order_by: Sequence[str]) -> Column:
     if function in ("first", "last"):
         if not order_by:
             raise ValueError(f"{function} needs order_by")
@@ -52,7 +54,7 @@ def _built_in(c: Column, function: str, order_by: Sequence[str], windowed: bool)
         "max": lambda: F.max(c),
         "count": lambda: F.count(c),
         "size": lambda: F.count(F.lit(1)),
-        "nunique": lambda: F.collect_set(c) if windowed else F.count_distinct(c),
+        "nunique": lambda: F.count_distinct(c),
         "std": lambda: F.stddev_samp(c),
         "var": lambda: F.var_samp(c),
         "median": lambda: F.median(c),

@@ -18,6 +18,14 @@ def names(cs: str | Sequence[str]) -> list[str]:
     return [cs] if isinstance(cs, str) else list(cs)
 
 
+def unused(df: DataFrame, base: str) -> str:
+    """A name that none of df's columns has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def without_nan(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """df with NaN turned to null in the float and double columns given (default: all)."""
     kinds = dict(df.dtypes)

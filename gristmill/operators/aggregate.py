@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions.aggregates import Function, aggregate, label
@@ -25,6 +26,17 @@ def aggregate_flat(df: DataFrame, keys: str | Sequence[str], agg: Mapping[str, F
     return rows.groupBy(*[name(k) for k in keys]).agg(*out)
 
 
+def flatten_names(df: DataFrame, splitter: str = "_") -> DataFrame:
+    """df with the fields of its struct columns as columns of their own, <column>_<field>, or <column> for a field without a name (""). Other columns stay; a null struct gives nulls."""
+    out = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StructType):
+            out += [name(f.name)[g.name].alias(f"{f.name}{splitter}{g.name}" if g.name else f.name) for g in f.dataType.fields]
+        else:
+            out.append(name(f.name))
+    return df.select(*out)
+
+
 def aggregate_by_index_and_keys(df: DataFrame, index: str | Sequence[str], keys: Sequence[str], agg: Mapping[str, Function | Sequence[Function]], order_by: Sequence[str] = ()) -> DataFrame:
     return aggregate_flat(df, [*names(index), *keys], agg, order_by)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.nulls import all_present, is_in, name, names, without_nan
+from ..functions.nulls import all_present, is_in, name, names, unused, without_nan
 
 #: Labels up to which the filter is a predicate that reaches the scan; beyond, it's an anti-join with a local table of them.
 INLINE = 1000
@@ -19,8 +19,9 @@ def drop_rows_by_index(df: DataFrame, index: str, labels: Sequence) -> DataFrame
     labels = list(labels)
     if len(labels) <= INLINE:
         return df.where(~is_in(name(index), labels))
-    some = df.sparkSession.createDataFrame([(v,) for v in labels if v is not None], df.select(name(index).alias("__label")).schema)
-    kept = df.join(some, name(index) == F.col("__label"), "left_anti")
+    label = unused(df, "label")
+    some = df.sparkSession.createDataFrame([(v,) for v in labels if v is not None], df.select(name(index).alias(label)).schema)
+    kept = df.join(some, name(index) == F.col(label), "left_anti")
     return kept.where(name(index).isNotNull()) if None in labels else kept
 
 
@@ -29,9 +30,10 @@ def drop_duplicates_by_index_and_keys(df: DataFrame, index: str | Sequence[str],
     index = names(index)
     w = Window.partitionBy(*[name(c) for c in [*index, *subset]])
     rows = without_nan(df, [*index, *subset]).where(all_present(index))
+    n = unused(df, "n")
     if keep is False:
-        return rows.withColumn("__n", F.count(F.lit(1)).over(w)).where("__n = 1").drop("__n")
+        return rows.withColumn(n, F.count(F.lit(1)).over(w)).where(F.col(n) == 1).drop(n)
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first', 'last' or False")
     order = [name(c).asc() if keep == "first" else name(c).desc() for c in order_by]
-    return rows.withColumn("__n", F.row_number().over(w.orderBy(*order))).where("__n = 1").drop("__n")
+    return rows.withColumn(n, F.row_number().over(w.orderBy(*order))).where(F.col(n) == 1).drop(n)

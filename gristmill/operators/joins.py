@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.nulls import name, names, same, without_nan
 
 HOWS = ("inner", "left", "right", "outer")
-#: Rows that merge_broadcast() sends to every executor at most; a larger side is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes, as Spark's planner estimates them without running anything, up to which a side is sent to every executor on request; a larger side is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def merge_keep_index(
     left: DataFrame, right: DataFrame, left_on: str | Sequence[str], right_on: str | Sequence[str], how: str = "inner", *, left_index: str | Sequence[str] = (), right_index: str | Sequence[str] = (),
-    keep_left_index: bool = True, keep_right_index: bool = True, reindex_by_left: bool = True, reindex_by_right: bool = False, broadcast_right: bool = False,
+    keep_left_index: bool = True, keep_right_index: bool = True, reindex_by_left: bool = True, reindex_by_right: bool = False, broadcast_right: bool = False, right_bytes: int | None = None,
 ) -> DataFrame:
     """left joined with right. The columns of the chosen index come first, then left's, then right's. An index that is not kept is dropped
-    first. Key pairs of one name give one column; other names on both sides get _x and _y."""
+    first. Key pairs of one name give one column; other names on both sides get _x and _y. broadcast_right: right is sent to all executors if right_bytes, or else its estimate, is small enough."""
     left_index, right_index, left_on, right_on = names(left_index), names(right_index), names(left_on), names(right_on)
     if how not in HOWS:
         raise ValueError(f"how is one of {HOWS}")
@@ -39,7 +39,7 @@ def merge_keep_index(
     a = without_nan(left, left_on).select(*[name(c).alias(f"l{k}") for k, c in enumerate(lefts)])
     b = without_nan(right, right_on).select(*[name(c).alias(f"r{k}") for k, c in enumerate(rights)])
     on = [(lefts.index(x), rights.index(y)) for x, y in zip(left_on, right_on, strict=True)]
-    joined = a.join(F.broadcast(b) if broadcast_right else b, same([a[f"l{x}"] for x, _ in on], [b[f"r{y}"] for _, y in on]), how)
+    joined = a.join(F.broadcast(b) if broadcast_right and (estimated_bytes(b) if right_bytes is None else right_bytes) <= BROADCAST_BYTES else b, same([a[f"l{x}"] for x, _ in on], [b[f"r{y}"] for _, y in on]), how)
     shared = {(x, y) for x, y in on if lefts[x] == rights[y]}
     one = {y for _, y in shared}
     clash = (set(lefts) & {c for k, c in enumerate(rights) if k not in one}) - {lefts[x] for x, _ in shared}
@@ -55,17 +55,22 @@ def merge_keep_index(
     return joined.select(*[c.alias(f"c{k}") for k, (_, c) in enumerate(final)]).toDF(*[n for n, _ in final])
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of df's size, which for files is at least what their columns take and for filters and joins an upper bound in most cases."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _order(df: DataFrame, index: Sequence[str]) -> list[str]:
     return [*index, *[c for c in df.columns if c not in index]]
 
 
 def merge_broadcast(left: DataFrame, right, left_on, right_on, how: str = "inner", **kwargs) -> DataFrame:
     """merge_keep_index() with a small right side: a DataFrame, a pandas frame, or a function without arguments that gives one. The right side is sent
-    to all executors if it has at most BROADCAST_ROWS rows (one count of it) and how allows it; right and outer joins shuffle and
-    give each unmatched row once."""
+    to all executors if its size, known of a pandas frame and estimated of a DataFrame, is BROADCAST_BYTES at most and how allows it; right and outer joins shuffle and
+    give each unmatched row once. No job runs."""
     if isinstance(right, Callable) and not isinstance(right, DataFrame):
         right = right()
     if not isinstance(right, DataFrame):
+        kwargs["right_bytes"] = int(right.memory_usage(deep=True).sum())
         right = left.sparkSession.createDataFrame(right)
-    small = how in ("inner", "left") and right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return merge_keep_index(left, right, left_on, right_on, how, broadcast_right=small, **kwargs)
+    return merge_keep_index(left, right, left_on, right_on, how, broadcast_right=how in ("inner", "left"), **kwargs)

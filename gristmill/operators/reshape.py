@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import name, names, without_nan
+from ..functions.nulls import name, names, unused, without_nan
 from ..functions.schema import data_type
 
 
@@ -30,8 +30,9 @@ def stack_list_columns(df: DataFrame, columns: Sequence[str], output_types: Sequ
 def stack_dict_column(df: DataFrame, column: str, label_type, value_type, keep: Sequence[str] = (), index: str | Sequence[str] = (), label_suffix: str = "_label", value_suffix: str = "_value") -> DataFrame:
     """A row for each entry of a map: the kept columns, the value, then the label. Null values stay; null and empty maps give no row."""
     held = [name(c) for c in [*names(index), *keep]]
-    rows = df.select(*held, F.explode(name(column)).alias("__label", "__value"))
-    return rows.select(*held, F.col("__value").cast(data_type(value_type)).alias(column + value_suffix), F.col("__label").cast(data_type(label_type)).alias(column + label_suffix))
+    label, value = unused(df, "label"), unused(df, "value")
+    rows = df.select(*held, F.explode(name(column)).alias(label, value))
+    return rows.select(*held, F.col(value).cast(data_type(value_type)).alias(column + value_suffix), F.col(label).cast(data_type(label_type)).alias(column + label_suffix))
 
 
 def stack_columns(df: DataFrame, targets: Sequence[str], keep: Sequence[str] = (), index: str | Sequence[str] = (), label_name: str = "stack_label", output_name: str = "stacked", label_type="object", output_type="object") -> DataFrame:
@@ -52,13 +53,17 @@ def stack_columns(df: DataFrame, targets: Sequence[str], keep: Sequence[str] = (
 def unstack_column(df: DataFrame, unstack: Sequence[str], on: Sequence[str], value: str, splitter: str = "_", suffix: str | None = None, pivot_values: Sequence[str] | None = None, check: bool = True) -> DataFrame:
     """Long to wide: a row for each value of on, a column for each observed combination of unstack, named by its values and the suffix (default: the
     value column's name). Runs one job for the combinations unless pivot_values names them, and one for the check, which raises
-    ValueError if two rows share on and unstack."""
+    ValueError if two rows share on and unstack. More combinations than spark.sql.pivotMaxValues are a ValueError, too, before they reach the driver."""
     key = F.concat_ws(splitter, *[F.coalesce(name(c).cast("string"), F.lit("null")) for c in unstack])
     label = F.concat(key, F.lit(value if suffix is None else suffix))
     if check and df.groupBy(*[name(c) for c in [*on, *unstack]]).count().where("count > 1").limit(1).count():
         raise ValueError("two rows share their values of on and unstack")
     if pivot_values is None:
-        seen = df.select(*[name(c) for c in unstack], label.alias("__label")).distinct().orderBy(*[name(c) for c in unstack])
-        pivot_values = [r["__label"] for r in seen.select("__label").collect()]
-    rows = df.select(*[name(c) for c in on], label.alias("__label"), name(value).alias("__value"))
-    return rows.groupBy(*[name(c) for c in on]).pivot("__label", list(pivot_values)).agg(F.first("__value", ignorenulls=True))
+        most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        seen = df.select(*[name(c).alias(f"c{k}") for k, c in enumerate(unstack)], label.alias("label")).distinct().orderBy(*[f"c{k}" for k in range(len(unstack))])
+        pivot_values = [r["label"] for r in seen.limit(most + 1).collect()]
+        if len(pivot_values) > most:
+            raise ValueError(f"more than {most} combinations to unstack")
+    held, shown = unused(df, "label"), unused(df, "value")
+    rows = df.select(*[name(c) for c in on], label.alias(held), name(value).alias(shown))
+    return rows.groupBy(*[name(c) for c in on]).pivot(held, list(pivot_values)).agg(F.first(shown, ignorenulls=True))

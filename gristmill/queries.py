@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import tempfile
+import threading
+import urllib.request
 import uuid
 from collections.abc import Callable
 
@@ -13,8 +18,14 @@ from .functions.strings import as_text, contains_many, endswith_many, startswith
 from .operators import aggregate as A
 from .operators import filters, joins, partitions, reshape
 from .operators import timeseries as ts
+from .functions import schema as schemas
 from .sources import digest as digests
 from .sources import layout, objects
+from .sources import object_source as object_sources
+from .sources.catalog import Catalog, LineageError, Source
+from .sources.charts import ChartStore, serve
+from .sources.paths import S3URL, local_or_s3, spark_path
+from .sources.session import AnalysisSession, load_magics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,9 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder where the cluster shares files; a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder where the cluster shares files, deleted when the application ends; a local one only where none is set and all runs on this machine, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="gristmill-")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
 
 
 def cents(c: str):
@@ -279,43 +299,249 @@ def map_partitions_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, value, event_type FROM events")
 def set_index_via_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.set_index_via_disk(table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", "value"), "event_type", scratch(spark))
+    return layout.set_index_via_disk(table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", "value"), "event_type", f"{scratch(spark)}/by")
 
 
-@query("SELECT * FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT * FROM orders")
 def persist_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table is written and reread; only the result has the filter of its SQL."""
-    return layout.persist(table(spark, sf_dir, "orders"), scratch(spark))[0].where("o_orderkey % 2 = 0")
+    return layout.persist(table(spark, sf_dir, "orders"), scratch(spark))[0]
 
 
-@query()
+@query("SELECT * FROM (VALUES ('dealt anew', true), ('sorted otherwise', true), ('a row less', false), ('a row twice', false), ('a column renamed', false)) t(change, same)")
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of a table, of itself in other partitions, and of another."""
+    """Whether a table's digest stays the same."""
     o = table(spark, sf_dir, "orders")
-    one, same, other = digests.digest(o), digests.digest(o.repartition(7)), digests.digest(o.where("o_orderkey > 1"))
-    return spark.createDataFrame([("orders", one), ("repartitioned", same), ("fewer rows", other)], "what string, digest string")
+    own = digests.digest(o)
+    first = o.where(F.col("o_orderkey") == o.agg(F.min("o_orderkey")).first()[0])
+    changed = {"dealt anew": o.repartition(7), "sorted otherwise": o.orderBy(F.desc("o_totalprice")), "a row less": o.exceptAll(first), "a row twice": o.union(first), "a column renamed": o.withColumnRenamed("o_custkey", "c")}
+    return spark.createDataFrame([(k, digests.digest(df) == own) for k, df in changed.items()], "change string, same boolean")
 
 
 @query("SELECT n_nationkey, n_name || '/' || n_regionkey AS shown FROM nation")
 def object_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation").withColumn("o", objects.object_column(lambda n, r: {"n": n, "r": [r]}, "n_name", "n_regionkey"))
-    path = scratch(spark)
+    path = f"{scratch(spark)}/objects"
     objects.write_objects(df.select("n_nationkey", "o"), path, ["o"])
     return layout.read_parquet(spark, path).select("n_nationkey", objects.from_objects("o", lambda x: f"{x['n']}/{x['r'][0]}", "string").alias("shown"))
 
 
-@query()
+@query("SELECT n_nationkey, n_name || '/' || n_regionkey AS shown FROM nation")
+def object_roundtrip_pickle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = objects.object_column(lambda n, r: {"n": n, "r": {r}}, "n_name", "n_regionkey", codec="pickle")
+    path = f"{scratch(spark)}/objects"
+    objects.write_objects(table(spark, sf_dir, "nation").select("n_nationkey", o.alias("o")), path, ["o"], "pickle")
+    shown = objects.from_objects("o", lambda x: f"{x['n']}/{min(x['r'])}", "string", "pickle", trusted=True)
+    return layout.read_parquet(spark, path).select("n_nationkey", shown.alias("shown"))
+
+
+@query("SELECT c_custkey, c_name || '!' AS o, c_nationkey FROM customer")
+def object_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects published through a catalog, copied with a time to live, and read by what the record says."""
+    where = scratch(spark)
+    catalog = Catalog(f"{where}/catalog.json", spark)
+    df = table(spark, sf_dir, "customer").select("c_custkey", objects.object_column(lambda n: [n], "c_name").alias("o"), "c_nationkey")
+    copy = object_sources.persist_objects(object_sources.publish_objects(catalog, df, "customers", "1", where, ["o"]), spark, f"{where}/copies", ttl=3600)
+    if object_sources.expired(copy) or not object_sources.expired(copy, copy.metadata["exported_at"] + 3600):
+        raise AssertionError("a copy lives for its ttl")
+    return object_sources.read_objects(catalog.append(copy), spark, {"o": (lambda x: f"{x[0]}!", "string")})
+
+
+@query("SELECT * FROM supplier")
+def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/csv"
+    s = table(spark, sf_dir, "supplier")
+    s.write.option("header", True).csv(path)
+    return layout.read_csv(spark, path, s.schema)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_source_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/csv"
+    table(spark, sf_dir, "nation").write.option("header", True).csv(path)
+    df = layout.read_csv(spark, path)
+    return df.select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("SELECT c_custkey, c_name, 'BUILDING' AS c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'")
+def partition_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of one partition with its value as a column."""
+    root = f"{scratch(spark)}/by"
+    by = layout.set_index_via_disk(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_mktsegment", root)
+    return layout.read_partition_files(spark, by.where("c_mktsegment = 'BUILDING'").select(F.input_file_name().alias("f")).distinct().toPandas()["f"].tolist(), "c_mktsegment", "BUILDING")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem")
+def sorted_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.sorted_by(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), "l_shipdate", 8)
+
+
+@query("SELECT o_custkey, CAST(any_value(o_orderkey) AS BIGINT) AS o_orderkey, o_orderpriority FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(*) = 1")
+def drop_duplicates_keep_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.drop_duplicates_by_index_and_keys(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderpriority"], ["o_orderkey"], keep=False).select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("""SELECT l_orderkey, l_linenumber, n FROM (SELECT *, CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag END AS f FROM lineitem)
+  JOIN (SELECT l_suppkey AS s, CAST(count(DISTINCT CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag END) AS BIGINT) AS n FROM lineitem GROUP BY ALL) ON l_suppkey = s""")
+def aggregate_nunique_as_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem").withColumn("f", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_returnflag")))
+    return A.aggregate_as_column(df, "l_suppkey", "f", "nunique", "n").select("l_orderkey", "l_linenumber", "n")
+
+
+@query("SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS line_sum, CAST(min(l_linenumber) AS BIGINT) AS line_min FROM lineitem GROUP BY ALL")
+def flatten_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.struct(F.sum("l_linenumber").cast("long").alias("sum"), F.min("l_linenumber").cast("long").alias("min"))
+    return A.flatten_names(table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(line.alias("line")))
+
+
+@query("""SELECT o_orderpriority, max(n) FILTER (WHERE s IS NULL) AS null_n, max(n) FILTER (WHERE s = 'F') AS F_n, max(n) FILTER (WHERE s = 'O') AS O_n
+  FROM (SELECT o_orderpriority, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL) GROUP BY o_orderpriority""")
+def unstack_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels found in the data, a missing one among them; two rows of one place are an error."""
+    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("s")
+    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority", status).agg(F.count(F.lit(1)).alias("n"))
+    try:
+        reshape.unstack_column(counts.union(counts), ["s"], ["o_orderpriority"], "n")
+    except ValueError:
+        return reshape.unstack_column(counts, ["s"], ["o_orderpriority"], "n", suffix="_n")
+    raise AssertionError("rows of one place went unnoticed")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS VARCHAR) || '.5' WHEN p_partkey % 4 = 1 THEN CAST(p_size AS VARCHAR) || '.25' ELSE '-0.125' END AS shown FROM part")
+def asstr_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.when(F.col("p_partkey") % 4 == 0, F.col("p_size") + 0.5).when(F.col("p_partkey") % 4 == 1, F.col("p_size") + 0.25).otherwise(F.lit(-0.125))
+    return table(spark, sf_dir, "part").select("p_partkey", as_text(d, "double", remove_dotzero=True).alias("shown"))
+
+
+@query("SELECT c_custkey, c_name, n_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def merge_future(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The right side as a function that gives a pandas frame."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    return joins.merge_broadcast(c, n.toPandas, "c_nationkey", "n_nationkey", "inner", left_index="c_custkey", right_index="n_nationkey").select("c_custkey", "c_name", "n_nationkey", "n_name")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def catalog_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written and recorded only when the job is called, and read back by name."""
+    where = scratch(spark)
+    catalog = Catalog(f"{where}/catalog.json", spark)
+    _, job = catalog.dump(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "suppliers", where, compute=False)
+    if "suppliers" in catalog:
+        raise AssertionError("recorded before the job ran")
+    job()
+    return Catalog(f"{where}/catalog.json", spark)["suppliers"].read(spark)
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def catalog_dump_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = scratch(spark)
+    catalog = Catalog(f"{where}/catalog.json", spark)
+    catalog.dump_pandas(table(spark, sf_dir, "region").select("r_regionkey", "r_name").toPandas(), "regions", where, partitions=2)
+    return catalog["regions"].read(spark)
+
+
+@query("""SELECT 'n' AS asked, '1.10' AS version, n_nationkey FROM nation WHERE n_nationkey < 20 UNION ALL SELECT 'n_1.9', '1.9', n_nationkey FROM nation WHERE n_nationkey < 10
+  UNION ALL SELECT 'copy', '1.9', n_nationkey FROM nation WHERE n_nationkey < 10""")
+def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest version by number, a given one, and an exported copy; wrong digests, names and versions are told."""
+    where, n = scratch(spark), table(spark, sf_dir, "nation").select("n_nationkey")
+    catalog = Catalog(f"{where}/catalog.json", spark)
+    old = catalog.publish(n.where("n_nationkey < 10"), "n", "1.9", where)
+    catalog.publish_pandas(n.where("n_nationkey < 20").toPandas(), "n", "1.10", where)
+    catalog = Catalog(f"{where}/catalog.json", spark)
+    for wrong, kind in ((lambda: catalog["m"], KeyError), (lambda: catalog.find("n_1.9", "0"), LineageError), (lambda: catalog.find_version("n", "2"), KeyError), (lambda: catalog.append(Source("n!", "1")), ValueError)):
+        try:
+            wrong()
+        except kind:
+            continue
+        raise AssertionError("a wrong key was found")
+    if not catalog["n_1.9"] == catalog[old] == catalog.find_version("n", "1.9") == old or catalog["n"] != catalog.latest("n"):
+        raise AssertionError("one record is another")
+    found = {"n": catalog["n"], "n_1.9": catalog["n_1.9"], "copy": old.export(spark, f"{where}/copy")}
+    parts = [x.read(spark).select(F.lit(k).alias("asked"), F.lit(x.version).alias("version"), F.col("n_nationkey")) for k, x in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT c_nationkey, n_name, CAST(count(*) AS BIGINT) AS customers, 'c_1,n_1' AS upstream FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def catalog_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of two published tables, published with them as lineage."""
+    where = scratch(spark)
+    catalog = Catalog(f"{where}/catalog.json", spark)
+    catalog.publish(table(spark, sf_dir, "customer"), "c", "1", where)
+    catalog.publish(table(spark, sf_dir, "nation"), "n", "1", where)
+
+    @catalog.analysis("per_nation", "1", ["c", "n_1"], where)
+    def per_nation(c: DataFrame, n: DataFrame) -> DataFrame:
+        return c.join(n, c.c_nationkey == n.n_nationkey).groupBy("c_nationkey", "n_name").agg(F.count(F.lit(1)).alias("customers"))
+
+    done = per_nation()
+    return done.read(spark).withColumn("upstream", F.lit(",".join(k for k, _ in done.upstream)))
+
+
+@query("""SELECT * FROM (VALUES ('as published', 'a_1', true), ('as published', 'b_1', true), ('as published', 'c_1', true), ('after a change upstream', 'a_1', true), ('after a change upstream', 'b_1', false),
+  ('after a change upstream', 'c_1', false), ('files spoilt', 'a_1', false)) t(state, record, valid)""")
 def catalog_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two analyses in a catalog, valid, then made invalid by publishing the first anew with other rows."""
-    import tempfile
-
-    from .sources.catalog import Catalog
-
-    with tempfile.TemporaryDirectory() as local:  # the manifest is the driver's own; tables go to the shared folder
-        catalog, where = Catalog(f"{local}/catalog.json", spark), scratch(spark)
-        catalog.analysis("nations", "1.0", [], where)(lambda: table(spark, sf_dir, "nation"))()
-        catalog.analysis("named", "1.0", ["nations"], where)(lambda nations: nations.select("n_name"))()
-        before = catalog.validate()[0]
-        catalog.publish(table(spark, sf_dir, "nation").where("n_nationkey > 3"), "nations", "1.0", where)
-        after = catalog.validate()[0]
-    return spark.createDataFrame([("as published", before), ("after a change upstream", after)], "state string, valid boolean")
+    """A chain of three analyses, valid as published, invalid from where an upstream was published anew; and a table whose files changed behind its record."""
+    where, n = scratch(spark), table(spark, sf_dir, "nation")
+    catalog = Catalog(f"{where}/catalog.json", spark)
+    catalog.analysis("a", "1", [], where)(lambda: n)()
+    catalog.analysis("b", "1", ["a"], where)(lambda a: a.select("n_name"))()
+    catalog.analysis("c", "1", ["b"], where)(lambda b: b.distinct())()
+    out = [("as published", key, rows[-1][1]) for key, rows in catalog.validate(deep=True)[1].items()]
+    catalog.publish(n.where("n_nationkey > 3"), "a", "1", where)
+    out += [("after a change upstream", key, rows[-1][1]) for key, rows in catalog.validate()[1].items()]
+    n.limit(2).write.mode("overwrite").parquet(catalog["a_1"].path)
+    return spark.createDataFrame([*out, ("files spoilt", "a_1", catalog.validate(deep=True)[1]["a_1"][-1][1])], "state string, record string, valid boolean")
+
+
+@query("SELECT n_regionkey, CAST(count(*) AS BIGINT) AS nations FROM nation GROUP BY ALL")
+def notebook_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line magics of a notebook, from the start of a project to the end of an analysis, in a shell of this query's own."""
+
+    class Shell:
+        def __init__(self):
+            self.user_ns, self.magics = {}, {}
+
+        def register_magic_function(self, function, kind, name):
+            self.magics[name] = function
+
+    where, shell = scratch(spark), Shell()
+    session = AnalysisSession()
+    load_magics(shell, session)
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        shell.magics["start_nb"](f"project {where}/catalog.json {where}")
+        session.catalog.publish(table(spark, sf_dir, "nation"), "nation", "1", where)
+        shell.magics["begin_analysis"]("per_region 1")
+        shell.magics["add_analysis_upstream"]("nation")
+        shell.user_ns["out"] = shell.user_ns["nation"].groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("nations"))
+        done = shell.magics["end_analysis"]("out")
+        shell.magics["validate_catalog"]("")
+    if "catalog valid" not in said.getvalue():
+        raise AssertionError(said.getvalue())
+    return done.read(spark)
+
+
+@query("""SELECT * FROM (VALUES ('parts', 'b', 'x/y', 's3a://b/x/y'), ('prefixed', 'b', 'x', 's3a://b/x'), ('local', NULL, NULL, 'x/y')) t(what, bucket, key, as_spark_reads_it)""")
+def paths_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two, local = S3URL("s3://b/") / "x" / "y", local_or_s3("s3://b/x"), local_or_s3("x") / "y"
+    return spark.createDataFrame([("parts", one.bucket(), one.key(), spark_path(one)), ("prefixed", two.bucket(), two.key(), spark_path(two)), ("local", None, None, spark_path(local))], "what string, bucket string, key string, as_spark_reads_it string")
+
+
+@query("SELECT 'nations' AS name, CAST(count(*) AS BIGINT) AS cells FROM nation UNION ALL SELECT 'text', 0")
+def chart_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame and a text kept as HTML by name in a folder of the driver's own, reread by another store and served."""
+    with tempfile.TemporaryDirectory() as folder:
+        store = ChartStore(folder)
+        store["nations"] = table(spark, sf_dir, "nation").select("n_name").toPandas()
+        store["text"] = "<b>none</b>"
+        server = serve(ChartStore(folder))
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        rows = [(k, urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/charts/{k}").read().decode().count("<td>")) for k in ("nations", "text")]
+        server.shutdown()
+    return spark.createDataFrame(rows, "name string, cells long")
+
+
+@query("SELECT DISTINCT o_orderstatus AS column, 'string' AS kind FROM orders WHERE false UNION ALL SELECT * FROM (VALUES ('i', 'bigint'), ('a', 'double'), ('b', 'string'), ('t', 'timestamp_ntz')) t")
+def make_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = schemas.make_schema(("i", "int"), [("a", "float"), ("b", object), ("t", "datetime64[ns]")])
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in kind.fields], "column string, kind string")

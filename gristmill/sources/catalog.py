@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
-import os
 import re
-import tempfile
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
@@ -16,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .digest import digest
 from .layout import read_csv
-from .paths import local_or_s3, spark_path
+from .paths import URL, local_or_s3, read_text, spark_path, text_exists, write_text
 
 NAME = re.compile(r"[0-9A-Za-z_-]+")
 VERSION = re.compile(r"[0-9A-Za-z.-]+")
@@ -90,19 +88,19 @@ class Source:
 
 
 class Catalog:
-    """The records in one local manifest file. Every change is written to a new file that then takes the old one's place."""
+    """The records in one manifest file, local or in a shared store. Every change is written to a new file that then takes the old one's place."""
 
-    def __init__(self, file: str | Path, spark: SparkSession | None = None):
-        self.file, self._spark = Path(file), spark
+    def __init__(self, file: str | Path | URL, spark: SparkSession | None = None):
+        self.file, self._spark = local_or_s3(file), spark
         self.records: dict[str, Source] = {}
-        self.reload() if self.file.exists() else self._write()
+        self.reload() if text_exists(self.file, spark or isinstance(self.file, URL) and self.spark) else self._write()
 
     @property
     def spark(self) -> SparkSession:
         return self._spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
     def reload(self) -> Catalog:
-        text = self.file.read_text()
+        text = read_text(self.file, isinstance(self.file, URL) and self.spark)
         found = (json.loads(text) if self.file.suffix == ".json" else _yaml().safe_load(text)) or {}
         self.records = {k: Source(**r) for k, r in (found.get("sources") or {}).items()}
         return self
@@ -110,15 +108,11 @@ class Catalog:
     def _write(self) -> None:
         plain = {"sources": {k: {**asdict(r), "upstream": [list(u) for u in r.upstream]} for k, r in self.records.items()}}
         text = json.dumps(plain, indent=1) if self.file.suffix == ".json" else _yaml().safe_dump(plain, sort_keys=False)
-        self.file.parent.mkdir(parents=True, exist_ok=True)
-        handle, path = tempfile.mkstemp(dir=self.file.parent, prefix=f".{self.file.name}.")
-        with os.fdopen(handle, "w") as out:
-            out.write(text)
-        os.replace(path, self.file)
+        write_text(self.file, text, isinstance(self.file, URL) and self.spark)
 
     def append(self, source: Source) -> Source:
         """Adds or replaces the record of this name and version."""
-        if self.file.exists():
+        if text_exists(self.file, isinstance(self.file, URL) and self.spark):
             self.reload()
         self.records[source.key] = source
         self._write()

@@ -40,14 +40,14 @@ def decode(text: str | None, codec: str = "json", trusted: bool = False):
 
 def object_column(function: Callable, *columns: str, codec: str = "json") -> Column:
     """The objects that function makes of these columns, encoded."""
-    return F.udf(lambda *values: encode(function(*values), codec), "string")(*[name(c) for c in columns])
+    return F.udf(lambda *values: encode(function(*values), codec), "string", useArrow=True)(*[name(c) for c in columns])
 
 
 def from_objects(column: str, function: Callable, kind: T.DataType | str, codec: str = "json", trusted: bool = False) -> Column:
     """function of each decoded object; null stays null."""
     if codec == "pickle" and not trusted:
         raise PermissionError("unpickling runs code from the data; pass trusted=True if you trust it")
-    return F.udf(lambda text: None if text is None else function(decode(text, codec, trusted)), kind)(name(column))
+    return F.udf(lambda text: None if text is None else function(decode(text, codec, trusted)), kind, useArrow=True)(name(column))
 
 
 def write_objects(df: DataFrame, path, columns: Sequence[str], codec: str = "json", **options) -> dict:

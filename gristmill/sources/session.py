@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .catalog import Catalog, Source
+from .paths import local_or_s3
 
 
 class AnalysisSession:
-    """begin() an analysis, take frames from the catalog, and end() it with the result."""
+    """start() a project, begin() an analysis, take frames from the catalog, and end() it with the result."""
 
-    def __init__(self, catalog: Catalog, folder):
+    def __init__(self, catalog: Catalog | None = None, folder=None):
         self.catalog, self.folder = catalog, folder
+        self.project = ""
         self.current: tuple[str, str] | None = None
         self.upstream: list[Source] = []
 
+    def start(self, project: str, catalog_file: str, folder: str) -> str:
+        """Opens or makes the catalog of a project, whose tables go to folder."""
+        self.project, self.catalog, self.folder = project, Catalog(catalog_file), local_or_s3(folder)
+        self.current, self.upstream = None, []
+        return f"{project}: catalog {catalog_file}, tables in {folder}"
+
     def begin(self, name: str, version: str, *sources: str) -> dict[str, DataFrame]:
+        if self.catalog is None:
+            raise RuntimeError("no project has been started")
         self.current, self.upstream = (name, version), []
         return {k: v for s in sources for k, v in self.add_upstream(s).items()}
 
@@ -40,8 +50,9 @@ class AnalysisSession:
 
 
 def load_magics(shell, session: AnalysisSession, charts=None) -> None:
-    """Line magics begin_analysis, add_analysis_upstream, end_analysis, validate_catalog and serve_chart for an IPython shell; frames become variables."""
+    """Line magics start_nb, begin_analysis, add_analysis_upstream, end_analysis, validate_catalog and serve_chart for an IPython shell; frames become variables."""
     put = shell.user_ns.update
+    shell.register_magic_function(lambda line: print(session.start(*line.split())), "line", "start_nb")
     shell.register_magic_function(lambda line: put(session.begin(*line.split())), "line", "begin_analysis")
     shell.register_magic_function(lambda line: put(session.add_upstream(line.strip())), "line", "add_analysis_upstream")
     shell.register_magic_function(lambda line: session.end(shell.user_ns[line.strip()]), "line", "end_analysis")

@@ -5,7 +5,8 @@ from gristmill.functions.nulls import is_in, without_nan
 from gristmill.operators import aggregate as A
 from gristmill.operators import filters
 
-ROWS = [(1, 0, 0), (10, 100, 1), (100, 200, 2), (1, 300, 0), (1, 400, 1), (100, 500, 2)]
+#: a, b, key
+ROWS = [(4, 7, 1), (9, 20, 3), (4, 11, 1), (6, 2, 3), (9, 31, 3), (8, 5, 5), (6, 40, 1)]
 
 
 def got(df, *columns):
@@ -20,19 +21,19 @@ def rows(spark):
 def test_flat_names(rows):
     out = A.aggregate_flat(rows, "key", {"a": ["sum", "min"], "b": ["mean", "sum", "max"]})
     assert out.columns == ["key", "a_sum", "a_min", "b_mean", "b_sum", "b_max"]
-    assert got(out) == [(0, 2, 1, 150.0, 300, 300), (1, 11, 1, 250.0, 500, 400), (2, 200, 100, 350.0, 700, 500)]
+    assert got(out) == [(1, 14, 4, 58 / 3, 58, 40), (3, 24, 6, 53 / 3, 53, 31), (5, 8, 8, 5.0, 5, 5)]
 
 
 def test_index_and_keys(rows):
     out = A.aggregate_by_index_and_keys(rows, "key", ["a"], {"b": ["mean", "max"]})
-    assert got(out) == sorted([(0, 1, 150.0, 300), (1, 1, 400.0, 400), (1, 10, 100.0, 100), (2, 100, 350.0, 500)], key=str)
+    assert got(out) == sorted([(1, 4, 9.0, 11), (1, 6, 40.0, 40), (3, 9, 25.5, 31), (3, 6, 2.0, 2), (5, 8, 5.0, 5)], key=str)
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_aggregate_beside_rows(spark, partitions):
     df = spark.createDataFrame([(k, *r) for k, r in enumerate(ROWS)], "o int, a bigint, b bigint, key bigint").repartition(partitions)
     out = A.aggregate_as_column_by_index_and_keys(df, "key", ["a"], "b", "sum", "sum_b")
-    assert [r.sum_b for r in out.orderBy("o").collect()] == [300, 100, 700, 300, 400, 700]
+    assert [r.sum_b for r in out.orderBy("o").collect()] == [18, 51, 18, 2, 51, 5, 40]
 
 
 def test_null_rules(spark):
@@ -72,10 +73,34 @@ def test_drop_rows(spark, monkeypatch):
 
 
 def test_drop_duplicates(spark):
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(ROWS)] + [(6, None, 1, 0), (7, None, 2, 0), (8, 1, 3, None)], "o int, a bigint, b bigint, key bigint").repartition(4)
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(ROWS)] + [(7, None, 1, 5), (8, None, 2, 5), (9, 1, 3, None)], "o int, a bigint, b bigint, key bigint").repartition(4)
     call = lambda **k: got(filters.drop_duplicates_by_index_and_keys(df, "key", ["a"], ["o"], **k), "key", "a", "b")
-    assert call() == sorted([(0, 1, 0), (1, 10, 100), (1, 1, 400), (2, 100, 200), (0, None, 1)], key=str)
-    assert call(keep="last") == sorted([(0, 1, 300), (1, 10, 100), (1, 1, 400), (2, 100, 500), (0, None, 2)], key=str)
-    assert call(keep=False) == sorted([(1, 10, 100), (1, 1, 400)], key=str)
+    assert call() == sorted([(1, 4, 7), (3, 9, 20), (3, 6, 2), (5, 8, 5), (1, 6, 40), (5, None, 1)], key=str)
+    assert call(keep="last") == sorted([(1, 4, 11), (3, 9, 31), (3, 6, 2), (5, 8, 5), (1, 6, 40), (5, None, 2)], key=str)
+    assert call(keep=False) == sorted([(3, 6, 2), (5, 8, 5), (1, 6, 40)], key=str)
     with pytest.raises(ValueError):
         call(keep="any")
+
+
+def test_helper_columns_take_no_name_of_the_table(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 5, 7, "x"), (1, 5, 8, "y"), (2, 6, 9, "z")], "key int, n int, N_ int, label string")
+    for keep, want in (("first", [(1, 5, 7, "x"), (2, 6, 9, "z")]), (False, [(2, 6, 9, "z")])):
+        out = filters.drop_duplicates_by_index_and_keys(df, "key", ["n"], ["label"], keep=keep)
+        assert out.columns == df.columns and got(out) == want
+    monkeypatch.setattr(filters, "INLINE", 0)
+    assert got(filters.drop_rows_by_index(df, "label", ["x"])) == [(1, 5, 8, "y"), (2, 6, 9, "z")]
+
+
+def test_distinct_values_beside_rows(spark):
+    rows = [("p", v) for v in (3.0, None, 3.0, 1.0, float("nan"), 2.0)] + [("q", None), ("r", 1.0)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "o int, k string, v double")
+    out = A.aggregate_as_column(df, "k", "v", "nunique", "n")
+    assert [r.n for r in out.orderBy("o").collect()] == [3] * 6 + [0, 1] and dict(out.dtypes)["n"] == "bigint"
+    assert "collect_set" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_given_names_are_flattened(spark):
+    df = spark.sql("select 1 k, struct(2 as sum, 3 as min) a, struct(4 as ``) b, cast(null as struct<x: int>) c")
+    out = A.flatten_names(df)
+    assert out.columns == ["k", "a_sum", "a_min", "b", "c_x"] and got(out) == [(1, 2, 3, 4, None)]
+    assert A.flatten_names(out).columns == out.columns and A.flatten_names(df, ".").columns[1] == "a.sum"

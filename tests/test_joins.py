@@ -6,15 +6,16 @@ from gristmill.operators import joins
 
 from test_aggregate import got
 
-A5 = [1, 2, 3, 4, 5, 1, 2, 3, 4, 5]
-B = [2, 2, 3, 3, 4, 4, 5, 5, 6, 6]
+#: Key pairs, each once, and a word for each on either side.
+PAIRS = [(x, y) for x in (11, 12, 13) for y in (21, 22, 23, 24)]
+WORDS = [f"{'ash beech cedar'.split()[x - 11]} {y}" for x, y in PAIRS]
 
 
 @pytest.fixture
 def sides(spark):
     spark.conf.set("spark.sql.caseSensitive", "true")
-    left = spark.createDataFrame([(a, b, c) for a, b, c in zip(A5, B, "abcdefghij")], "A bigint, B bigint, C string").repartition(3)
-    right = spark.createDataFrame([(a, b, c + "a") for a, b, c in zip(A5, B, "abcdefghij")], "a bigint, b bigint, c string").repartition(2)
+    left = spark.createDataFrame([(*p, w) for p, w in zip(PAIRS, WORDS)], "A bigint, B bigint, C string").repartition(3)
+    right = spark.createDataFrame([(*p, w.upper()) for p, w in zip(PAIRS, WORDS)], "a bigint, b bigint, c string").repartition(2)
     yield left, right
     spark.conf.unset("spark.sql.caseSensitive")
 
@@ -23,9 +24,9 @@ def test_index_stays(sides):
     left, right = sides
     out = joins.merge_keep_index(left, right, ["A", "B"], ["a", "b"], "inner", left_index="A", right_index="a")
     assert out.columns == ["A", "B", "C", "a", "b", "c"]
-    assert got(out) == sorted([(a, b, c, a, b, c + "a") for a, b, c in zip(A5, B, "abcdefghij")], key=str)
+    assert got(out) == sorted([(*p, w, *p, w.upper()) for p, w in zip(PAIRS, WORDS)], key=str)
     other = joins.merge_keep_index(left, right, ["A", "B"], ["a", "b"], "inner", left_index=["A", "B"], right_index=["a", "b"], reindex_by_left=False, reindex_by_right=True)
-    assert other.columns == ["a", "b", "A", "B", "C", "c"] and other.count() == 10
+    assert other.columns == ["a", "b", "A", "B", "C", "c"] and other.count() == 12
 
 
 def test_preconditions(sides):
@@ -52,12 +53,12 @@ def test_nulls_suffixes_and_hows(spark):
 def test_broadcast(spark, monkeypatch):
     left = spark.range(100).selectExpr("id", "id % 3 as k").repartition(4)
     right = pd.DataFrame({"j": [7, 8, 9], "kk": [0, 1, 5]})
-    for form in (right, lambda: right, spark.createDataFrame(right)):
+    for form in (right, lambda: right, spark.range(7, 10).selectExpr("id as j", "id - 7 as kk")):
         out = joins.merge_broadcast(left, form, "k", "kk", "left", left_index="id", right_index="j")
         assert out.count() == 100 and "BroadcastHashJoin" in plans.nodes(out)
     full = joins.merge_broadcast(left, right, "k", "kk", "outer", left_index="id", right_index="j")
     assert full.where("id is null").count() == 1
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 2)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     large = joins.merge_broadcast(left, right, "k", "kk", "left", left_index="id", right_index="j")
     assert large.count() == 100 and "SortMergeJoin" in plans.nodes(large)

@@ -8,27 +8,27 @@ from test_aggregate import got
 
 
 def test_list_column(spark):
-    df = spark.createDataFrame([(0, 1, ["1", "2", "3"]), (1, 2, ["2", "3", "4"]), (2, 3, ["3", "4"]), (3, 4, []), (4, 5, None)], ["idx", "b", "a-list"])
+    df = spark.createDataFrame([(5, 8, ["40", "41"]), (6, 9, ["7"]), (7, 8, ["9", "9", "-3"]), (8, 4, []), (9, 5, None)], ["idx", "b", "a-list"])
     out = reshape.stack_list_column(df, "a-list", "int", ["b"], "idx")
     assert out.columns == ["idx", "b", "a-list"]
-    assert got(out) == [(0, 1, 1), (0, 1, 2), (0, 1, 3), (1, 2, 2), (1, 2, 3), (1, 2, 4), (2, 3, 3), (2, 3, 4)]
+    assert got(out) == sorted([(5, 8, 40), (5, 8, 41), (6, 9, 7), (7, 8, 9), (7, 8, 9), (7, 8, -3)], key=str)
 
 
 def test_list_columns(spark):
-    df = spark.createDataFrame([(0, 1, ["1", "2", "3"], ["a", "b", "c"]), (1, 2, ["2", "3", "4"], ["b", "c"]), (2, 3, None, ["x"])], "idx int, b int, `a1-list` array<string>, `a2-list` array<string>")
+    df = spark.createDataFrame([(5, 8, ["40", "41"], ["oak", "elm"]), (6, 9, ["7", "8", "9"], ["fir"]), (7, 8, None, ["yew"])], "idx int, b int, `a1-list` array<string>, `a2-list` array<string>")
     out = reshape.stack_list_columns(df, ["a1-list", "a2-list"], ["string", "str"], ["b"], "idx")
     assert out.columns == ["idx", "b", "a1-list", "a2-list"]
-    assert got(out) == sorted([(0, 1, "1", "a"), (0, 1, "2", "b"), (0, 1, "3", "c"), (1, 2, "2", "b"), (1, 2, "3", "c"), (1, 2, "4", None), (2, 3, None, "x")], key=str)
+    assert got(out) == sorted([(5, 8, "40", "oak"), (5, 8, "41", "elm"), (6, 9, "7", "fir"), (6, 9, "8", None), (6, 9, "9", None), (7, 8, None, "yew")], key=str)
 
 
 def test_dict_column(spark):
-    df = spark.createDataFrame([(0, {"a": 100, "b": 200}, 1), (1, {"c": 300}, 2), (2, {"a": 500, "c": None}, 3), (3, {}, 4)], "idx int, a map<string,bigint>, b int")
+    df = spark.createDataFrame([(5, {"oak": 12}, 8), (6, {"elm": 7, "fir": None}, 9), (7, {}, 4), (8, None, 4)], "idx int, a map<string,bigint>, b int")
     out = reshape.stack_dict_column(df, "a", "string", "bigint", ["b"], "idx")
     assert out.columns == ["idx", "b", "a_value", "a_label"]
-    assert got(out) == sorted([(0, 1, 100, "a"), (0, 1, 200, "b"), (1, 2, 300, "c"), (2, 3, 500, "a"), (2, 3, None, "c")], key=str)
+    assert got(out) == sorted([(5, 8, 12, "oak"), (6, 9, 7, "elm"), (6, 9, None, "fir")], key=str)
 
 
-WIDE = [(100, 1, 2, 5, "a"), (200, 2, 3, 6, "b"), (300, 3, 4, 7, "c"), (400, 4, 5, 8, "d")]
+WIDE = [(31, 7, 70, 12, "oak"), (32, 8, 80, 15, "elm"), (33, 9, 90, 18, "fir")]
 
 
 def test_stack_and_unstack(spark):
@@ -36,14 +36,20 @@ def test_stack_and_unstack(spark):
     long = reshape.stack_columns(df, ["a", "b"], ["label"], "idx")
     assert long.columns == ["idx", "label", "stack_label", "stacked"]
     assert got(long) == sorted([(i, s, k, v) for i, a, b, _, s in WIDE for k, v in (("a", a), ("b", b))], key=str)
-    mixed = df.selectExpr("idx", "if(idx = 100, null, a) a", "if(idx = 200, double('nan'), b) b", "label s")
-    assert got(reshape.stack_columns(mixed, ["a", "b"], [], "idx"), "idx", "stacked") == sorted([(100, 2.0), (200, 2.0), (300, 3.0), (300, 4.0), (400, 4.0), (400, 5.0)], key=str)
+    mixed = df.selectExpr("idx", "if(idx = 31, null, a) a", "if(idx = 32, double('nan'), b) b", "label s")
+    assert got(reshape.stack_columns(mixed, ["a", "b"], [], "idx"), "idx", "stacked") == sorted([(31, 70.0), (32, 8.0), (33, 9.0), (33, 90.0)], key=str)
     assert dict(reshape.stack_columns(mixed, ["a", "s"], [], "idx").dtypes)["stacked"] == "string"
     wide = reshape.unstack_column(df, ["a", "b"], ["label"], "c")
-    assert wide.columns == ["label", "1_2c", "2_3c", "3_4c", "4_5c"]
-    assert got(wide) == [("a", 5, None, None, None), ("b", None, 6, None, None), ("c", None, None, 7, None), ("d", None, None, None, 8)]
-    named = reshape.unstack_column(df.selectExpr("if(a = 3, null, a) a", "b", "c", "label"), ["a", "b"], ["label"], "c", "-", "!")
-    assert "null-4!" in named.columns
+    assert wide.columns == ["label", "7_70c", "8_80c", "9_90c"]
+    assert got(wide) == [("elm", None, 15, None), ("fir", None, None, 18), ("oak", 12, None, None)]
+    named = reshape.unstack_column(df.selectExpr("if(a = 9, null, a) a", "b", "c", "label"), ["a", "b"], ["label"], "c", "-", "!")
+    assert "null-90!" in named.columns
+    spark.conf.set("spark.sql.pivotMaxValues", "2")
+    try:
+        with pytest.raises(ValueError, match="more than 2"):
+            reshape.unstack_column(df, ["a"], ["label"], "c")
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
     with pytest.raises(ValueError):
         reshape.unstack_column(df.union(df), ["a"], ["label"], "c")
 

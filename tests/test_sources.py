@@ -6,12 +6,12 @@ from pathlib import Path
 import pytest
 
 from gristmill.sources import catalog as C
-from gristmill.sources import charts, layout, objects, paths, session
+from gristmill.sources import charts, layout, object_source, objects, paths, session
 from gristmill.sources.digest import digest
 
 from test_aggregate import got
 
-CSV1 = "a,b,c\n1,a,1.0\n2,aa,1.1\n3,aaa,1.2\n4,aaaa,1.3\n5,aaaaa,1.4\n"
+CSV1 = "a,b,c\n7,oak,0.5\n8,elm,2.5\n12,fir,4.0\n15,yew,8.25\n31,ash,16.0\n"
 
 
 @pytest.fixture
@@ -32,7 +32,7 @@ def test_paths():
 def test_digest(spark, csvs):
     one, two = csvs
     assert digest(one) != digest(two) and digest(one.withColumn("a", (one.a * 10).cast("int"))) == digest(two)
-    rows = spark.createDataFrame([(0, 1, "a"), (1, 10, "b"), (2, 100, "c"), (0, 1, "d"), (1, 1, "e"), (2, 100, "f")], "i long, a long, b string")
+    rows = spark.createDataFrame([(k, k * k % 7, "oak elm fir".split()[k % 3]) for k in range(20)], "i long, a long, b string")
     assert digest(rows) == digest(rows.repartition(5)) == digest(rows.orderBy("b", ascending=False))
     assert digest(rows) != digest(rows.union(rows)) != digest(rows.union(rows).union(rows))
     of = lambda sql: digest(spark.sql(sql))
@@ -167,4 +167,47 @@ def test_persist_roundtrip_keeps_the_whole_table(spark, tmp_path, monkeypatch):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     kept = spark.read.parquet(str(next((tmp_path / "kept").iterdir())))
     assert sorted(kept.collect()) == sorted(orders.collect())
-    assert sorted(got.collect()) == sorted(orders.where("o_orderkey % 2 = 0").collect())
+    assert sorted(got.collect()) == sorted(orders.collect())
+
+
+def test_manifest_in_a_shared_store(spark, tmp_path, csvs):
+    """A catalog whose file is named by a URL is read and written by Spark's own file systems."""
+    root = paths.local_or_s3(f"file://{tmp_path}")
+    assert type(root) is paths.URL and (root / "x").suffix == "" and (root / "c.json").suffix == ".json"
+    cat = C.Catalog(root / "m" / "catalog.json", spark)
+    a = cat.publish(csvs[0], "a", "1", root)
+    cat.publish(csvs[1], "a", "2", root, [a])
+    again = C.Catalog(f"file://{tmp_path}/m/catalog.json", spark)
+    assert again["a"].upstream == (("a_1", a.digest),) and again.validate(deep=True)[0] and json.loads((tmp_path / "m" / "catalog.json").read_text())["sources"].keys() == {"a_1", "a_2"}
+    assert not list((tmp_path / "m").glob("*.new"))
+
+
+def test_object_sources(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "i int, b string").withColumn("d", objects.object_column(lambda b: None if b is None else {"b": {b}}, "b", codec="pickle"))
+    cat = C.Catalog(tmp_path / "c.json", spark)
+    source = object_source.publish_objects(cat, df, "o", "1", tmp_path, ["d"], "pickle")
+    decoders = {"d": (lambda x: sorted(x["b"])[0] * 2, "string")}
+    assert got(object_source.read_objects(cat["o"], spark, decoders, trusted=True), "i", "d") == [(1, "aa"), (2, None)]
+    assert got(object_source.read_objects(cat["o"], spark, {}), "i") == [(1,), (2,)]
+    for wrong in (lambda: object_source.read_objects(source, spark, {"b": decoders["d"]}), lambda: object_source.publish_objects(cat, df, "p", "1", tmp_path, ["i"]), lambda: object_source.read_objects(cat.publish(df, "q", "1", tmp_path), spark, {})):
+        with pytest.raises(ValueError):
+            wrong()
+    with pytest.raises(PermissionError):
+        object_source.read_objects(source, spark, decoders)
+    kept = object_source.persist_objects(source, spark, tmp_path / "kept", ttl=60)
+    assert kept.path != source.path and kept.metadata["exported_from"] == source.path and got(object_source.read_objects(kept, spark, decoders, True), "d") == [("aa",), (None,)]
+    now = kept.metadata["exported_at"]
+    assert not object_source.expired(kept, now + 59) and object_source.expired(kept, now + 60) and not object_source.expired(source)
+
+
+def test_notebook_starts_a_project(spark, tmp_path, csvs, capsys):
+    shell, s = Shell(), session.AnalysisSession()
+    session.load_magics(shell, s)
+    with pytest.raises(RuntimeError):
+        shell.magics["begin_analysis"]("x 1")
+    shell.magics["start_nb"](f"trees {tmp_path}/c.json {tmp_path}/tables")
+    assert "trees" in capsys.readouterr().out and s.project == "trees"
+    s.catalog.publish(csvs[0], "a", "1", tmp_path)
+    shell.magics["begin_analysis"]("x 1 a")
+    shell.user_ns["out"] = shell.user_ns["a"].limit(2)
+    assert shell.magics["end_analysis"]("out").path == str(tmp_path / "tables" / "x" / "1")
