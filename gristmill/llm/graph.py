@@ -35,7 +35,8 @@ def pointers(live: DataFrame, salt: int) -> DataFrame:
         return F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("draw"), F.col(c).alias("to"))
 
     both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    one = both.groupBy("a").agg(F.min(rank("b")).alias("near")).select("a", F.least(rank("a"), "near").alias("near"))
+    # cut, so that both sides of the join are plain exchanges and Spark can split the many edges of a hub
+    one = cut(both.groupBy("a").agg(F.min(rank("b")).alias("near")).select("a", F.least(rank("a"), "near").alias("near")), ids=True)
     two = both.join(one.select(F.col("a").alias("b"), "near"), "b").groupBy("a").agg(F.min("near").alias("further"))
     return two.select(F.col("a").alias("id"), F.least(rank("a"), "further")["to"].alias("up"))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, remove, replaced, shared_dir, small
+from .common import cut, own_folder, remove, replaced, small
 
 LEAST = 20
 COPIES = 3
@@ -127,7 +127,7 @@ def lost_keys(docs: DataFrame, least: int = LEAST, copies: int = COPIES, batches
     """doc_id, lost: the low halves of the keys whose lines the document loses. Only documents that lose some have a row."""
     spark = docs.sparkSession
     keys = cut(line_keys(docs, least))
-    runs = LineRuns(spark, f"{shared_dir(spark)}/line-runs-{uuid.uuid4().hex}", fanout, copies=copies)
+    runs = LineRuns(spark, own_folder(spark, "line-runs"), fanout, copies=copies)
     try:
         for k in range(batches):
             runs.add(keys.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
