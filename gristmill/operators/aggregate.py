@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,13 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions.aggregates import Function, aggregate, label
-from ..functions.nulls import all_present, name, names, without_nan
+from ..functions.nulls import all_present, name, names, unused, without_nan
+from .joins import estimated_bytes
+
+#: Nodes of an optimized plan whose rows depend on nothing but their input's rows.
+REPEATABLE = {"LogicalRelation", "LocalRelation", "Range", "OneRowRelation", "Project", "Filter", "Union", "Join", "Generate", "Repartition", "RepartitionByExpression", "Sort"}
+#: Bytes of groups a shuffle partition, as Spark's planner estimates them (an upper bound, of compressed files), up to which they are hashed in memory.
+HASHED_BYTES = 16 << 20
 
 
 def aggregate_flat(df: DataFrame, keys: str | Sequence[str], agg: Mapping[str, Function | Sequence[Function]], order_by: Sequence[str] = ()) -> DataFrame:
@@ -42,9 +49,11 @@ def aggregate_by_index_and_keys(df: DataFrame, index: str | Sequence[str], keys:
 
 
 def aggregate_as_column(df: DataFrame, keys: str | Sequence[str], column: str, function: Function, output: str, null_keys: str = "null", order_by: Sequence[str] = ()) -> DataFrame:
-    """df with the group's aggregate in each row: one shuffle, no join. null_keys: rows with a null key get null ("null") or are left out ("drop")."""
+    """df with the group's aggregate in each row: one shuffle, no join, but for nunique (see _nunique_beside). null_keys: rows with a null key get null ("null") or are left out ("drop")."""
     keys = names(keys)
     rows = without_nan(df, [*keys, column])
+    if function == "nunique" and null_keys in ("null", "drop") and keys and reads_alike(rows):
+        return _nunique_beside(rows.where(all_present(keys)) if null_keys == "drop" else rows, keys, column, output)
     value = aggregate(column, function, order_by, Window.partitionBy(*[name(k) for k in keys]))
     if null_keys == "drop":
         return rows.where(all_present(keys)).withColumn(output, value)
@@ -53,5 +62,31 @@ def aggregate_as_column(df: DataFrame, keys: str | Sequence[str], column: str, f
     return rows.withColumn(output, F.when(all_present(keys), value))
 
 
+def reads_alike(df: DataFrame) -> bool:
+    """Whether df's plan shows that df gives the same rows each time it is read: files, ranges and local rows behind nothing that chooses rows or values by their order or at random."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if not plan.deterministic() or plan.containsPattern(df.sparkSession._jvm.org.apache.spark.sql.catalyst.trees.TreePattern.PLAN_EXPRESSION()):
+        return False
+    rest = [plan]
+    while rest:
+        node = rest.pop()
+        kind = node.getClass().getSimpleName()
+        if kind not in REPEATABLE or kind == "LogicalRelation" and node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return False
+        rest += [node.children().apply(k) for k in range(node.children().size())]
+    return True
+
+
+def _nunique_beside(rows: DataFrame, keys: Sequence[str], column: str, output: str) -> DataFrame:
+    """Distinct values are counted a group and joined to the rows, which are read twice. A window would sort a task's rows twice and hold both orders; here the rows pass by a hash table of the groups.
+    That can't spill, so it's asked for only where it stays small even if each row is a group; else Spark decides."""
+    n, own = unused(rows, f"{output}_"), [unused(rows, f"{output}_{k}") for k in range(len(keys))]
+    groups = rows.where(all_present(keys)).groupBy(*[name(k).alias(o) for k, o in zip(keys, own)]).agg(aggregate(column, "nunique").alias(n))
+    if estimated_bytes(groups) <= HASHED_BYTES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        groups = groups.hint("shuffle_hash")
+    on = reduce(lambda a, b: a & b, [name(k) == name(o) for k, o in zip(keys, own)])
+    return rows.join(groups, on, "left").withColumn(output, name(n)).drop(n, *own)
+
+
 def aggregate_as_column_by_index_and_keys(df: DataFrame, index: str | Sequence[str], keys: Sequence[str], column: str, function: Function, output: str, order_by: Sequence[str] = ()) -> DataFrame:
     return aggregate_as_column(df, [*names(index), *keys], column, function, output, order_by=order_by)

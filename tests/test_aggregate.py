@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.nulls import is_in, without_nan
 from gristmill.operators import aggregate as A
 from gristmill.operators import filters
+from gristmill.plans import nodes
 
 #: a, b, key
 ROWS = [(4, 7, 1), (9, 20, 3), (4, 11, 1), (6, 2, 3), (9, 31, 3), (8, 5, 5), (6, 40, 1)]
@@ -104,3 +105,30 @@ def test_given_names_are_flattened(spark):
     out = A.flatten_names(df)
     assert out.columns == ["k", "a_sum", "a_min", "b", "c_x"] and got(out) == [(1, 2, 3, 4, None)]
     assert A.flatten_names(out).columns == out.columns and A.flatten_names(df, ".").columns[1] == "a.sum"
+
+
+def test_distinct_values_of_files_are_counted_without_sorting_the_rows(spark, tmp_path):
+    nan = float("nan")
+    rows = [(0.0, "a", 1), (-0.0, "b", 1), (nan, "a", 2), (None, "a", 2), (1.0, None, 2), (1.0, "c", None), (1.0, "c", 1), (1.0, "d", 1), (0.0, "a", 1)]
+    spark.createDataFrame(rows, "k double, v string, `n.` int").write.parquet(str(tmp_path / "t"))
+    df, given = spark.read.parquet(str(tmp_path / "t")), spark.createDataFrame(rows, "k double, v string, `n.` int").coalesce(1)
+    assert A.reads_alike(df) and not A.reads_alike(given)
+    for keys in ("k", ["k", "n."], ["n."]):
+        for null_keys in ("null", "drop"):
+            for output in ("n", "N.", "v", "k", "o.p"):
+                a, b = (A.aggregate_as_column(x, keys, "v", "nunique", output, null_keys) for x in (df, given))
+                assert a.columns == b.columns and a.dtypes == b.dtypes and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    found = nodes(A.aggregate_as_column(df, "k", "v", "nunique", "n"))
+    assert found["ShuffledHashJoin"] == 1 and not found["Window"] and not found["Sort"]
+
+
+def test_groups_that_may_not_fit_are_not_hashed_and_unstable_rows_are_read_once(spark, tmp_path, monkeypatch):
+    spark.range(40).selectExpr("id % 7 k", "id % 3 v").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    want = sorted(A.aggregate_as_column(df, "k", "v", "nunique", "n").collect())
+    assert {r.n for r in want} == {3}
+    monkeypatch.setattr(A, "HASHED_BYTES", 0)
+    out = A.aggregate_as_column(df, "k", "v", "nunique", "n")
+    assert not nodes(out)["ShuffledHashJoin"] and sorted(out.collect()) == want
+    for other in (df.withColumn("r", F.rand()), df.dropDuplicates(["v"]), df.limit(9), df.where("k < (select max(id) from range(6))"), df.sample(0.5)):
+        assert not A.reads_alike(other) and nodes(A.aggregate_as_column(other, "k", "v", "nunique", "n"))["Window"]
